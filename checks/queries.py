@@ -129,7 +129,7 @@ def path_transit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         distinct_paths(spark, sf_dir)
         .select("as_path", R.hops(F.col("as_path")).alias("hops"))
-        .select("as_path", F.explode(R.transits(F.col("hops"))).alias("transit_asn"))
+        .select("as_path", F.explode(F.array_distinct(R.interior(F.col("hops")))).alias("transit_asn"))
     )
 
 

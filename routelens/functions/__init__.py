@@ -6,10 +6,9 @@ from routelens.functions.paths import (
     origin,
     squash,
     tokens,
-    transits,
 )
 
 __all__ = [
     "day_floor", "family", "hops", "interior", "is_valid_origin", "origin",
-    "peer_label", "squash", "tokens", "transits",
+    "peer_label", "squash", "tokens",
 ]

@@ -17,22 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.functions import family, hops, is_valid_origin, origin, tokens, transits
+from routelens.functions import family, hops, interior, is_valid_origin, origin, tokens
 from routelens.schema import PEER_KEYS
 
-_COMMUNITY = "struct<asn:bigint,value:bigint>"
 
-_prefix = F.col("prefix")
-
-
-def _flag(condition: Column) -> Column:
-    """1 if the condition holds, 0 if it is false or unknown."""
-    return F.when(condition, 1).otherwise(0)
-
-
-def _explode_after_null(items: Column, element_type: str, condition: Column) -> Column:
-    head = F.array(F.lit(None).cast(element_type))
-    return F.explode(F.when(condition, F.concat(head, items)).otherwise(head))
+def _explode_after_null(items: str, element_type: str) -> Column:
+    """Explode NULL, then the items of an array column that may itself be NULL."""
+    return F.expr(f"explode(concat(array(cast(NULL AS {element_type})),"
+                  f" coalesce({items}, array())))")
 
 
 def record_facts(selected: DataFrame) -> DataFrame:
@@ -43,25 +35,25 @@ def record_facts(selected: DataFrame) -> DataFrame:
 
 def routing_facts(selected: DataFrame) -> DataFrame:
     """Prefixes, and the ASNs in paths of elems that have a prefix."""
-    asn = _explode_after_null(
-        F.array_distinct(tokens(F.col("as_path"))), "string",
-        _prefix.isNotNull() & F.col("as_path").isNotNull())
+    prefix, path = F.col("prefix"), F.col("as_path")
     return (
-        selected.select(*PEER_KEYS, "prefix", asn.alias("asn"))
-        .select(*PEER_KEYS, family(_prefix).alias("family"), "asn",
-                F.when(F.col("asn").isNull(), _prefix).alias("prefix"))
+        selected
+        .select(*PEER_KEYS, "prefix", F.when(prefix.isNotNull(), tokens(path)).alias("asns"))
+        .select(*PEER_KEYS, "prefix", _explode_after_null("asns", "string").alias("asn"))
+        .select(*PEER_KEYS, family(prefix).alias("family"),
+                F.expr("if(asn IS NULL, prefix, NULL) AS prefix"), "asn")
         .distinct()
-        .withColumn("pfxs", _flag(_prefix.isNotNull()))
-        .withColumn("asns", _flag(F.col("asn").isNotNull()))
+        .selectExpr("*", "int(prefix IS NOT NULL) AS pfxs", "int(asn IS NOT NULL) AS asns")
     )
 
 
 def origin_facts(selected: DataFrame) -> DataFrame:
     """Prefixes with their valid origins, and a NULL origin where an elem has none."""
     return (
-        selected.select(*PEER_KEYS, "prefix", origin(F.col("as_path")).alias("origin"))
-        .select(*PEER_KEYS, family(_prefix).alias("family"), "prefix",
-                F.when(_prefix.isNotNull() & is_valid_origin(F.col("origin")),
+        selected
+        .select(*PEER_KEYS, "prefix", origin(F.col("as_path")).alias("origin"))
+        .select(*PEER_KEYS, family(F.col("prefix")).alias("family"), "prefix",
+                F.when(F.col("prefix").isNotNull() & is_valid_origin(F.col("origin")),
                        F.col("origin")).alias("origin"))
         .distinct()
     )
@@ -70,19 +62,19 @@ def origin_facts(selected: DataFrame) -> DataFrame:
 def transit_facts(selected: DataFrame) -> DataFrame:
     """Prefixes (NULL transit) and the (transit hop, prefix) pairs.
 
-    ``via`` on a prefix says that some path to it has a transit hop.
+    ``via`` on a prefix says that some path to it has a transit hop. An empty
+    prefix counts as a prefix but is never forwarded.
     """
-    routed = (_prefix != "") & F.col("as_path").isNotNull()
-    transit = _explode_after_null(F.col("transits"), "string", F.size("transits") > 0)
+    prefix, path = F.col("prefix"), F.col("as_path")
     return (
         selected
-        .select(*PEER_KEYS, "prefix", F.when(routed, hops(F.col("as_path"))).alias("hops"))
-        .select(*PEER_KEYS, "prefix", transits(F.col("hops")).alias("transits"))
-        .select(*PEER_KEYS, "prefix", _flag(F.size("transits") > 0).alias("via"),
-                transit.alias("transit"))
-        .groupBy(*PEER_KEYS, family(_prefix).alias("family"), "transit", "prefix")
+        .select(*PEER_KEYS, "prefix", F.when(prefix != "", hops(path)).alias("hops"))
+        .select(*PEER_KEYS, "prefix", interior(F.col("hops")).alias("transits"))
+        .select(*PEER_KEYS, "prefix", F.expr("int(coalesce(size(transits), 0) > 0) AS via"),
+                _explode_after_null("transits", "string").alias("transit"))
+        .groupBy(*PEER_KEYS, family(prefix).alias("family"), "transit", "prefix")
         .agg(F.max("via").alias("via"))
-        .withColumn("pfxs", _flag(_prefix.isNotNull()))
+        .selectExpr("*", "int(prefix IS NOT NULL) AS pfxs")
     )
 
 
@@ -90,40 +82,42 @@ def community_facts(selected: DataFrame) -> DataFrame:
     """Prefixes with their kinds of community, and the (asn, value) communities.
 
     Whether a community is the peer's own is settled here, against the peer of
-    the elem; above the peer level it can no longer be told. A community
-    without an ASN is not the peer's own.
+    the elem; above the peer level it can no longer be told. A community without
+    an ASN is not the peer's own. An empty prefix counts as a prefix but has no
+    communities.
     """
-    asns = F.col("communities.asn")
-    present = (_prefix != "") & (F.size("communities") > 0)
-    own = F.array_contains(asns, F.col("peer_asn"))
-    foreign = F.size(F.array_remove(asns, F.col("peer_asn"))) > 0
-    item = _explode_after_null(F.col("communities"), _COMMUNITY, present)
-    is_prefix = F.col("community").isNull()
-    kinds = ("any", "int", "ext")
     return (
         selected
-        .select(*PEER_KEYS, "prefix",
-                _flag(present).alias("any"),
-                _flag(present & own).alias("int"),
-                _flag(present & foreign).alias("ext"),
-                item.alias("community"))
-        .select(*PEER_KEYS, family(_prefix).alias("family"),
-                F.col("community.asn").alias("asn"), F.col("community.value").alias("value"),
-                F.when(is_prefix, _prefix).alias("prefix"),
-                _flag(~is_prefix).alias("pairs"),
-                *[F.when(is_prefix, F.col(kind)).otherwise(0).alias(kind) for kind in kinds])
+        .select(*PEER_KEYS, "prefix", F.expr(
+            "if(prefix <> '' AND size(communities) > 0, communities, NULL) AS communities"))
+        .select(
+            *PEER_KEYS, "prefix",
+            F.expr("communities IS NOT NULL AS `any`"),
+            F.expr("coalesce(array_contains(communities.asn, peer_asn), false) AS `int`"),
+            F.expr("coalesce(size(array_remove(communities.asn, peer_asn)) > 0, false) AS `ext`"),
+            _explode_after_null("communities", "struct<asn: bigint, value: bigint>")
+            .alias("community"),
+        )
+        .select(
+            *PEER_KEYS, family(F.col("prefix")).alias("family"),
+            F.col("community.asn").alias("asn"), F.col("community.value").alias("value"),
+            F.expr("if(community IS NULL, prefix, NULL) AS prefix"),
+            F.expr("int(community IS NOT NULL) AS pairs"),
+            *[F.expr(f"int(community IS NULL AND `{kind}`) AS `{kind}`")
+              for kind in ("any", "int", "ext")],
+        )
         .groupBy(*PEER_KEYS, "family", "asn", "value", "prefix", "pairs")
-        .agg(*[F.max(kind).alias(kind) for kind in kinds])
-        .withColumn("pfxs", _flag(_prefix.isNotNull()))
+        .agg(*[F.max(kind).alias(kind) for kind in ("any", "int", "ext")])
+        .selectExpr("*", "int(prefix IS NOT NULL) AS pfxs")
     )
 
 
 def community_prefix_facts(selected: DataFrame) -> DataFrame:
     """The prefixes on which each (asn, value) community was seen."""
     return (
-        selected.where((_prefix != "") & (F.size("communities") > 0))
+        selected.where("prefix <> ''")
         .select(*PEER_KEYS, "prefix", F.explode("communities").alias("community"))
-        .select(*PEER_KEYS, family(_prefix).alias("family"),
+        .select(*PEER_KEYS, family(F.col("prefix")).alias("family"),
                 F.col("community.asn").alias("asn"), F.col("community.value").alias("value"),
                 "prefix")
         .distinct()

@@ -20,16 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routelens.functions import peer_label
 from routelens.schema import (
     ALL_COLLECTORS,
     ALL_PEERS,
     COLLECTOR,
     COLLECTOR_KEYS,
     EVERYTHING,
-    LABELS,
     PEER,
     PEER_KEYS,
     TIME_KEYS,
@@ -53,20 +53,17 @@ def climb(rows: DataFrame, level: int, upper_keys: Sequence[str], by: Sequence[s
     """
     counted = [*LEVEL_KEYS, *by]
     merged = [*upper_keys, "level", *by, *item]
-    is_merged = F.grouping("peer_address") == 1
-    grouped = rows.groupingSets([counted, merged], *LEVEL_KEYS, *by, *item).agg(
-        *[F.sum(name).alias(name) for name in (*counts, *sums)],
-        is_merged.alias("is_merged"),
-    )
     return (
-        grouped
-        .where(~F.col("is_merged") | (F.col("level") == level))
+        rows.groupingSets([counted, merged], *LEVEL_KEYS, *by, *item)
+        .agg(F.expr("grouping(peer_address) = 1 AS is_merged"),
+             *[F.sum(name).alias(name) for name in (*counts, *sums)])
+        .where(f"NOT is_merged OR level = {level}")
         .select(
             *PEER_KEYS,
-            F.when(F.col("is_merged"), level + 1).otherwise(F.col("level")).alias("level"),
+            F.expr(f"if(is_merged, {level + 1}, level) AS level"),
             *by, *item,
-            *[F.when(F.col("is_merged"), F.least(name, F.lit(1))).otherwise(F.col(name))
-              .alias(name) for name in counts],
+            *[F.expr(f"if(is_merged, least(`{name}`, 1), `{name}`) AS `{name}`")
+              for name in counts],
             *sums,
         )
     )
@@ -85,16 +82,12 @@ def climb_levels(facts: DataFrame, by: Sequence[str], item: Sequence[str],
     return rows
 
 
-def label_levels(rows: DataFrame, *columns) -> DataFrame:
+def label_levels(rows: DataFrame, *columns: Column | str) -> DataFrame:
     """Replace the level keys by the three report labels."""
-    from routelens.functions import peer_label
-
-    level = F.col("level")
+    peer = peer_label(F.col("peer_asn"), F.col("peer_address"))
     return rows.select(
         "time",
-        F.when(level == EVERYTHING, ALL_COLLECTORS).otherwise(F.col("collector"))
-        .alias("collector"),
-        F.when(level == PEER, peer_label(F.col("peer_asn"), F.col("peer_address")))
-        .otherwise(ALL_PEERS).alias("peer"),
+        F.expr(f"if(level = {EVERYTHING}, '{ALL_COLLECTORS}', collector) AS collector"),
+        F.when(F.col("level") == PEER, peer).otherwise(ALL_PEERS).alias("peer"),
         *columns,
     )

@@ -28,18 +28,12 @@ from routelens.schema import (
     TIME_KEYS,
 )
 
-FAMILIES = {"v4": 4, "v6": 6}
+FAMILIES = (4, 6)
 
 
-def _in(version: str, condition: Column | None = None) -> Column:
-    of_family = F.col("family") == FAMILIES[version]
-    return of_family if condition is None else of_family & condition
-
-
-def _total(amount: Column | str, condition: Column) -> Column:
+def _total(amount: str, condition: str, name: str) -> Column:
     """Sum of an amount over the rows that meet a condition; 0 if none does."""
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    return F.coalesce(F.sum(F.when(condition, amount)), F.lit(0)).cast("long")
+    return F.expr(f"sum(if({condition}, {amount}, 0)) AS `{name}`")
 
 
 def _finish(levels: DataFrame, report: str) -> DataFrame:
@@ -59,52 +53,44 @@ def elem_counts(selected: DataFrame) -> DataFrame:
 def routing_table(selected: DataFrame) -> DataFrame:
     """Unique prefixes, and unique ASNs in their paths."""
     rows = climb_levels(routing_facts(selected), ["family"], ["prefix", "asn"], ["pfxs", "asns"])
-    return _finish(
-        rows.groupBy(*LEVEL_KEYS).agg(*[
-            _total(name, _in(v)).alias(f"{name}_{v}")
-            for name in ("pfxs", "asns") for v in FAMILIES
-        ]),
-        "routing_table",
-    )
+    columns = [_total(name, f"family = {f}", f"{name}_v{f}")
+               for name in ("pfxs", "asns") for f in FAMILIES]
+    return _finish(rows.groupBy(*LEVEL_KEYS).agg(*columns), "routing_table")
 
 
 def moas(selected: DataFrame) -> DataFrame:
     """Prefixes by number of origins, and distinct sets of several origins."""
-    n_origins = F.size("origins")
     # One row per level, family and origin set. Prefixes with none or one share a row.
     sets = (
         origins_by_level(selected)
-        .groupBy(*LEVEL_KEYS, "family",
-                 F.least(n_origins, F.lit(2)).alias("n_origins"),
-                 F.when(n_origins > 1, F.col("origins")).alias("origins"))
+        .groupBy(*LEVEL_KEYS, "family", F.expr("least(size(origins), 2) AS n_origins"),
+                 F.expr("if(size(origins) > 1, origins, NULL) AS origins"))
         .agg(F.count("prefix").alias("pfxs"))
     )
-    several, none = F.col("n_origins") > 1, F.col("n_origins") == 0
     columns = []
-    for v in FAMILIES:
+    for f in FAMILIES:
         columns += [
-            _total("pfxs", _in(v)).alias(f"total_{v}"),
-            _total("pfxs", _in(v, several)).alias(f"moas_pfxs_{v}"),
-            _total("pfxs", _in(v, none)).alias(f"unknown_origin_pfxs_{v}"),
-            _total(F.lit(1), _in(v, several)).alias(f"origin_sets_{v}"),
+            _total("pfxs", f"family = {f}", f"total_v{f}"),
+            _total("pfxs", f"family = {f} AND n_origins > 1", f"moas_pfxs_v{f}"),
+            _total("pfxs", f"family = {f} AND n_origins = 0", f"unknown_origin_pfxs_v{f}"),
+            _total("1L", f"family = {f} AND n_origins > 1", f"origin_sets_v{f}"),
         ]
     return _finish(sets.groupBy(*LEVEL_KEYS).agg(*columns), "moas")
 
 
 def transit(selected: DataFrame) -> DataFrame:
     """Transit ASes, and statistics of the number of prefixes per transit AS."""
-    is_transit = F.col("transit").isNotNull()
     columns = []
-    for v in FAMILIES:
-        prefixes = F.when(_in(v, is_transit), F.col("pfxs"))
+    for f in FAMILIES:
+        prefixes = f"if(family = {f} AND transit IS NOT NULL, pfxs, NULL)"
         columns += [
-            _total("pfxs", _in(v, ~is_transit)).alias(f"total_{v}"),
-            _total(F.lit(1), _in(v, is_transit)).alias(f"transit_asns_{v}"),
-            _total("via", _in(v, ~is_transit)).alias(f"transit_pfxs_{v}"),
-            F.coalesce(F.min(prefixes), F.lit(0)).alias(f"min_pfxs_{v}"),
-            F.coalesce(F.avg(prefixes), F.lit(0.0)).alias(f"mean_pfxs_{v}"),
-            F.coalesce(F.max(prefixes), F.lit(0)).alias(f"max_pfxs_{v}"),
-            F.coalesce(F.stddev_pop(prefixes), F.lit(0.0)).alias(f"std_pfxs_{v}"),
+            _total("pfxs", f"family = {f} AND transit IS NULL", f"total_v{f}"),
+            _total("1L", f"family = {f} AND transit IS NOT NULL", f"transit_asns_v{f}"),
+            _total("via", f"family = {f} AND transit IS NULL", f"transit_pfxs_v{f}"),
+            F.expr(f"coalesce(min({prefixes}), 0) AS min_pfxs_v{f}"),
+            F.expr(f"coalesce(avg({prefixes}), 0) AS mean_pfxs_v{f}"),
+            F.expr(f"coalesce(max({prefixes}), 0) AS max_pfxs_v{f}"),
+            F.expr(f"coalesce(stddev_pop({prefixes}), 0) AS std_pfxs_v{f}"),
         ]
     return _finish(transit_by_level(selected).groupBy(*LEVEL_KEYS).agg(*columns), "transit")
 
@@ -116,12 +102,13 @@ def community(selected: DataFrame) -> DataFrame:
     per_asn = rows.groupBy(*LEVEL_KEYS, "family", "asn").agg(
         *[F.sum(name).alias(name) for name in counts])
     columns = []
-    for v in FAMILIES:
+    for f in FAMILIES:
         columns += [
-            _total("pfxs", _in(v)).alias(f"total_ip{v}"),
-            *[_total(kind, _in(v)).alias(f"pfx_{v}_{kind}") for kind in ("any", "int", "ext")],
-            _total(F.lit(1), _in(v, F.col("pairs") > 0)).alias(f"asn_{v}"),
-            _total("pairs", _in(v)).alias(f"asn_value_{v}"),
+            _total("pfxs", f"family = {f}", f"total_ipv{f}"),
+            *[_total(f"`{kind}`", f"family = {f}", f"pfx_v{f}_{kind}")
+              for kind in ("any", "int", "ext")],
+            _total("1L", f"family = {f} AND pairs > 0", f"asn_v{f}"),
+            _total("pairs", f"family = {f}", f"asn_value_v{f}"),
         ]
     return _finish(per_asn.groupBy(*LEVEL_KEYS).agg(*columns), "community")
 

@@ -8,90 +8,60 @@ peer and of others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from routelens.schema import ELEMS
+# The parts that several columns share.
+_PARTS = (
+    "*",
+    "string(64500 + l_suppkey % 7) AS peer",
+    "string(1000 + l_orderkey % 17) AS first_transit",
+    """CASE WHEN l_orderkey % 5 = 0 THEN 'R'
+            WHEN l_suppkey % 7 = 6 THEN 'S'
+            WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'W'
+            ELSE 'A' END AS elem_type""",
+    """CASE WHEN l_discount > 0.095 THEN '23456'
+            WHEN l_tax > 0.075 THEN '{65001,65002}'
+            WHEN l_quantity > 48 THEN string(40000 + l_partkey % 500)
+            ELSE string(30000 + l_partkey % 500) END AS path_end""",
+    "named_struct('asn', 64500 + l_suppkey % 7, 'value', l_orderkey % 20) AS own",
+    "named_struct('asn', 1000 + l_orderkey % 17, 'value', l_partkey % 10) AS foreign",
+)
 
-_COLLECTORS = ("route-views.sg", "route-views.sg", "route-views2",
-               "rrc00", "rrc00", "rrc01", "other00")
-_FIRST_DAY = 1_451_606_400
-
-
-def _text(number: Column) -> Column:
-    return number.cast("string")
+_ELEM_COLUMNS = (
+    "l_orderkey AS record_id",
+    """CASE WHEN l_orderkey % 7 <= 2 THEN 'routeviews'
+            WHEN l_orderkey % 7 <= 5 THEN 'ris'
+            ELSE 'other' END AS project""",
+    """CASE WHEN l_orderkey % 7 <= 1 THEN 'route-views.sg'
+            WHEN l_orderkey % 7 = 2 THEN 'route-views2'
+            WHEN l_orderkey % 7 <= 4 THEN 'rrc00'
+            WHEN l_orderkey % 7 = 5 THEN 'rrc01'
+            ELSE 'other00' END AS collector""",
+    "if(l_orderkey % 5 = 0, 'ribs', 'updates') AS record_type",
+    "1451606400 + (l_orderkey % 3) * 86400 + (l_orderkey * 37) % 86400 AS record_time",
+    "64500 + l_suppkey % 7 AS peer_asn",
+    """if(l_suppkey % 5 = 0, '2001:db8::', '192.0.2.') || string(l_suppkey % 7)
+       AS peer_address""",
+    """CASE WHEN elem_type = 'S' THEN NULL
+            WHEN l_partkey % 4 = 0 THEN '2001:db8:' || string(l_partkey % 9000) || '::/48'
+            ELSE '10.' || string((l_partkey div 256) % 256) || '.'
+                 || string(l_partkey % 256) || '.0/24' END AS prefix""",
+    """CASE WHEN elem_type NOT IN ('R', 'A') THEN NULL
+            WHEN l_linenumber = 7 THEN ''
+            WHEN l_linenumber = 6 THEN peer
+            ELSE concat_ws(' ', peer, if(l_linenumber = 3, peer, NULL),
+                           first_transit, if(l_linenumber = 2, first_transit, NULL),
+                           if(l_linenumber = 4, NULL, string(2000 + l_suppkey % 11)),
+                           path_end) END AS as_path""",
+    """CASE WHEN elem_type NOT IN ('R', 'A') THEN NULL
+            WHEN l_linenumber = 5 THEN slice(array(own), 1, 0)
+            WHEN l_linenumber = 1 THEN array(own)
+            WHEN l_linenumber = 2 THEN array(foreign)
+            ELSE array(own, foreign) END AS communities""",
+    "elem_type",
+)
 
 
 def elems_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    order, part, supp = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    number = F.col("l_linenumber")
-
-    source = order % 7
-    record_type = F.when(order % 5 == 0, "ribs").otherwise("updates")
-    elem_type = (
-        F.when(order % 5 == 0, "R")
-        .when(supp % 7 == 6, "S")
-        .when((F.col("l_returnflag") == "R") & (number == 1), "W")
-        .otherwise("A")
-    )
-    announces = F.col("elem_type").isin("R", "A")
-
-    prefix = F.when(
-        part % 4 == 0, F.concat(F.lit("2001:db8:"), _text(part % 9000), F.lit("::/48"))
-    ).otherwise(F.concat(
-        F.lit("10."), _text(F.floor(part / 256) % 256), F.lit("."), _text(part % 256),
-        F.lit(".0/24"),
-    ))
-
-    peer = _text(64500 + supp % 7)
-    first_transit = _text(1000 + order % 17)
-    last = (
-        F.when(F.col("l_discount") > 0.095, "23456")
-        .when(F.col("l_tax") > 0.075, "{65001,65002}")
-        .when(F.col("l_quantity") > 48, _text(40000 + part % 500))
-        .otherwise(_text(30000 + part % 500))
-    )
-    full_path = F.concat_ws(
-        " ",
-        peer,
-        F.when(number == 3, peer),
-        first_transit,
-        F.when(number == 2, first_transit),
-        F.when(number != 4, _text(2000 + supp % 11)),
-        last,
-    )
-    path = F.when(number == 7, "").when(number == 6, peer).otherwise(full_path)
-
-    def community(asn: Column, value: Column) -> Column:
-        return F.struct(asn.cast("long").alias("asn"), value.cast("long").alias("value"))
-
-    own = community(64500 + supp % 7, order % 20)
-    other = community(1000 + order % 17, part % 10)
-    communities = (
-        F.when(number == 5, F.slice(F.array(own), 1, 0))
-        .when(number == 1, F.array(own))
-        .when(number == 2, F.array(other))
-        .otherwise(F.array(own, other))
-    )
-
-    return (
-        line.withColumn("elem_type", elem_type)
-        .select(
-            order.alias("record_id"),
-            F.when(source <= 2, "routeviews").when(source <= 5, "ris")
-            .otherwise("other").alias("project"),
-            F.element_at(F.array(*map(F.lit, _COLLECTORS)), (source + 1).cast("int"))
-            .alias("collector"),
-            record_type.alias("record_type"),
-            (_FIRST_DAY + (order % 3) * 86_400 + (order * 37) % 86_400).alias("record_time"),
-            (64500 + supp % 7).alias("peer_asn"),
-            F.when(supp % 5 == 0, F.concat(F.lit("2001:db8::"), _text(supp % 7)))
-            .otherwise(F.concat(F.lit("192.0.2."), _text(supp % 7))).alias("peer_address"),
-            F.when(F.col("elem_type") != "S", prefix).alias("prefix"),
-            F.when(announces, path).alias("as_path"),
-            F.when(announces, communities).alias("communities"),
-            F.col("elem_type"),
-        )
-        .select(*ELEMS.fieldNames())
-    )
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.selectExpr(*_PARTS).selectExpr(*_ELEM_COLUMNS)
