@@ -1,11 +1,11 @@
 """Daily statistics over BGP routing data, as Spark DataFrames."""
 
-from routelens.job import build_report, run_report
+from routelens.job import build_report, run_report, run_reports
 from routelens.operators import select_elems
 from routelens.plans import REPORTS, to_legacy_layout
 from routelens.sources import flatten_records, read_collectors, read_elems, write_elems
 
 __all__ = [
     "REPORTS", "build_report", "flatten_records", "read_collectors", "read_elems",
-    "run_report", "select_elems", "to_legacy_layout", "write_elems",
+    "run_report", "run_reports", "select_elems", "to_legacy_layout", "write_elems",
 ]

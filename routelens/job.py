@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, timezone
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routelens.operators import day_bounds, select_elems
+from routelens.operators import day_bounds, distinct_elems, select_elems
 from routelens.plans import REPORTS, to_legacy_layout
 from routelens.schema import ALL_COLLECTORS, ALL_PEERS, LABELS
 
@@ -23,14 +26,17 @@ def report_path(outdir: str, kind: str, data_type: str, start: int, end: int,
     return f"{outdir.rstrip('/')}/{prefix}-{name}.{data_type}.{days}.csv"
 
 
+def _check_kind(kind: str) -> None:
+    if kind not in REPORTS:
+        raise ValueError(f"kind must be one of {sorted(REPORTS)}, not {kind!r}")
+
+
 def build_report(kind: str, elems: DataFrame, start: int, end: int, data_type: str,
                  collector: str | None = None, catalog: DataFrame | None = None,
                  legacy: bool = False) -> DataFrame:
     """The report as a DataFrame. ``legacy`` gives the older titles and counting rules."""
-    if kind not in REPORTS:
-        raise ValueError(f"kind must be one of {sorted(REPORTS)}, not {kind!r}")
-    selected = select_elems(elems, start, end, data_type, collector, catalog)
-    report = REPORTS[kind](selected)
+    _check_kind(kind)
+    report = REPORTS[kind](select_elems(elems, start, end, data_type, collector, catalog))
     return to_legacy_layout(report, kind) if legacy else report
 
 
@@ -50,6 +56,15 @@ def write_report(report: DataFrame, path: str, format: str = "csv") -> None:
     writer.save(path)
 
 
+def _write_to(outdir: str, report: DataFrame, kind: str, data_type: str, start: int, end: int,
+              format: str, prefix: str) -> str:
+    path = report_path(outdir, kind, data_type, start, end, prefix)
+    if format != "csv":
+        path = f"{path.removesuffix('.csv')}.{format}"
+    write_report(report, path, format)
+    return path
+
+
 def run_report(kind: str, elems: DataFrame, start: int, end: int, data_type: str, outdir: str,
                collector: str | None = None, catalog: DataFrame | None = None,
                legacy: bool = False, format: str = "csv", prefix: str = "bgp") -> str:
@@ -59,8 +74,51 @@ def run_report(kind: str, elems: DataFrame, start: int, end: int, data_type: str
     existing report at the same path is replaced.
     """
     report = build_report(kind, elems, start, end, data_type, collector, catalog, legacy)
-    path = report_path(outdir, kind, data_type, start, end, prefix)
-    if format != "csv":
-        path = f"{path.removesuffix('.csv')}.{format}"
-    write_report(report, path, format)
-    return path
+    return _write_to(outdir, report, kind, data_type, start, end, format, prefix)
+
+
+@contextmanager
+def _written_once(rows: DataFrame, workdir: str | None) -> Iterator[DataFrame]:
+    """The rows as a Parquet table in the cluster's shared folder, removed afterwards.
+
+    Unlike a cache it outlives lost executors, and each reader takes only the
+    columns it needs.
+    """
+    spark: SparkSession = rows.sparkSession
+    workdir = spark.conf.get("spark.checkpoint.dir", None) or workdir
+    if not workdir:
+        raise ValueError("set spark.checkpoint.dir, or give a shared workdir")
+    path = f"{workdir.rstrip('/')}/routelens-{uuid4().hex}"
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        rows.write.parquet(path)
+        yield spark.read.schema(rows.schema).parquet(path)
+    finally:
+        table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
+
+
+def run_reports(kinds: Iterable[str], elems: DataFrame, start: int, end: int, data_type: str,
+                outdir: str, collector: str | None = None, catalog: DataFrame | None = None,
+                format: str = "csv", prefix: str = "bgp",
+                workdir: str | None = None) -> dict[str, str]:
+    """Write several reports with one pass over paths and communities.
+
+    The distinct statements are written out once and the reports made from them;
+    only the element counts go back to the elems, of which they read few columns.
+    The table goes under ``spark.checkpoint.dir``, or ``workdir`` if that is unset.
+    """
+    kinds = list(kinds)
+    for kind in kinds:
+        _check_kind(kind)
+    selected = select_elems(elems, start, end, data_type, collector, catalog)
+    where = (data_type, start, end, format, prefix)
+    paths = {}
+    if "elem_counts" in kinds:
+        paths["elem_counts"] = _write_to(
+            outdir, REPORTS["elem_counts"](selected), "elem_counts", *where)
+    sharing = [kind for kind in kinds if kind != "elem_counts"]
+    if sharing:
+        with _written_once(distinct_elems(selected), workdir) as statements:
+            for kind in sharing:
+                paths[kind] = _write_to(outdir, REPORTS[kind](statements), kind, *where)
+    return paths

@@ -1,6 +1,7 @@
 from routelens.operators.facts import (
     community_facts,
     community_prefix_facts,
+    distinct_elems,
     origin_facts,
     record_facts,
     routing_facts,
@@ -11,6 +12,6 @@ from routelens.operators.select import day_bounds, select_elems
 
 __all__ = [
     "LEVEL_KEYS", "climb", "climb_levels", "community_facts", "community_prefix_facts",
-    "day_bounds", "label_levels", "origin_facts", "record_facts", "routing_facts",
-    "select_elems", "transit_facts",
+    "day_bounds", "distinct_elems", "label_levels", "origin_facts", "record_facts",
+    "routing_facts", "select_elems", "transit_facts",
 ]

@@ -27,6 +27,16 @@ def _explode_after_null(items: str, element_type: str) -> Column:
                   f" coalesce({items}, array())))")
 
 
+def distinct_elems(selected: DataFrame) -> DataFrame:
+    """What a vantage point said on a day, each statement once.
+
+    All reports but the element counts are functions of this. RIB dumps and
+    flapping routes repeat statements many times a day, so where several reports
+    are wanted it is worth writing out once.
+    """
+    return selected.select(*PEER_KEYS, "prefix", "as_path", "communities").distinct()
+
+
 def record_facts(selected: DataFrame) -> DataFrame:
     """Per vantage point and record: its number of elems."""
     return selected.groupBy(*PEER_KEYS, "record_id").agg(

@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 from conftest import DAY
@@ -9,9 +10,11 @@ from routelens import (
     read_collectors,
     read_elems,
     run_report,
+    run_reports,
     write_elems,
 )
 from routelens.job import report_path
+from routelens.plans import REPORTS
 from routelens.schema import ELEMS, NESTED_RECORDS
 
 SPAN = (DAY, DAY + 2 * 86_400)
@@ -106,6 +109,19 @@ def test_parquet_sink(spark, elems, tmp_path):
         map(tuple, expected.collect()))
 
 
+def test_reports_from_one_pass(spark, elems, tmp_path):
+    work = Path(spark.conf.get("spark.checkpoint.dir", None) or tmp_path)
+    twice = elems.unionAll(elems)
+    paths = run_reports(REPORTS, twice, *SPAN, "updates", str(tmp_path / "out"),
+                        format="parquet", workdir=str(work))
+    assert list(paths) == list(REPORTS)
+    for kind, path in paths.items():
+        expected = build_report(kind, twice, *SPAN, "updates")
+        assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(
+            map(tuple, expected.collect()))
+    assert not list(work.glob("routelens-*"))
+
+
 def test_unknown_kind(elems):
     with pytest.raises(ValueError):
         build_report("speed", elems, *SPAN, "updates")
