@@ -10,7 +10,7 @@ from routelens.schema import DAY_SECONDS
 
 def day_floor(epoch: Column) -> Column:
     """Start of the UTC day of an epoch-second column, as bigint."""
-    return (F.floor(epoch / DAY_SECONDS) * DAY_SECONDS).cast("long")
+    return epoch - F.pmod(epoch, F.lit(DAY_SECONDS))
 
 
 def family(prefix: Column) -> Column:

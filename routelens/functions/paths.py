@@ -22,19 +22,27 @@ AS_TRANS = "23456"
 _PREPENDING = r"(?<![^ ])([^ ]*+)(?: \1(?![^ ]))++"
 
 
-def tokens(path: Column) -> Column:
-    """Whitespace-separated tokens; an empty or blank path has none.
+def _has_other_blanks(path: Column) -> Column:
+    """True if some whitespace is not a plain space.
 
-    Splitting on one plain character is far cheaper than on a pattern, so the
+    Working on plain spaces is far cheaper than splitting on a pattern, so the
     pattern is kept for the paths that need it.
     """
-    pieces = F.when(path.rlike(r"[\t\n\x0B\f\r]"), F.split(path, r"\s+"))
-    return F.array_remove(pieces.otherwise(F.split(path, " ")), "")
+    return path.rlike(r"[\t\n\x0B\f\r]")
+
+
+def tokens(path: Column) -> Column:
+    """Whitespace-separated tokens; an empty or blank path has none."""
+    pieces = F.when(_has_other_blanks(path), F.split(path, r"\s+")).otherwise(F.split(path, " "))
+    return F.array_remove(pieces, "")
 
 
 def origin(path: Column) -> Column:
     """Last token, or the empty string if the path is missing or blank."""
-    return F.coalesce(F.try_element_at(tokens(path), F.lit(-1)), F.lit(""))
+    pieces = F.array_remove(F.split(path, r"\s+"), "")
+    last = F.when(_has_other_blanks(path), F.try_element_at(pieces, F.lit(-1)))
+    last = last.otherwise(F.substring_index(F.rtrim(path), " ", -1))
+    return F.coalesce(last, F.lit(""))
 
 
 def is_valid_origin(asn: Column) -> Column:

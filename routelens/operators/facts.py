@@ -59,12 +59,11 @@ def routing_facts(selected: DataFrame) -> DataFrame:
 
 def origin_facts(selected: DataFrame) -> DataFrame:
     """Prefixes with their valid origins, and a NULL origin where an elem has none."""
+    valid = F.col("prefix").isNotNull() & is_valid_origin(F.col("origin"))
     return (
         selected
         .select(*PEER_KEYS, "prefix", origin(F.col("as_path")).alias("origin"))
-        .select(*PEER_KEYS, family(F.col("prefix")).alias("family"), "prefix",
-                F.when(F.col("prefix").isNotNull() & is_valid_origin(F.col("origin")),
-                       F.col("origin")).alias("origin"))
+        .select(*PEER_KEYS, "prefix", F.when(valid, F.col("origin")).alias("origin"))
         .distinct()
     )
 
