@@ -10,6 +10,7 @@ had to leave is never tried again, so the time is linear.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 from functools import cached_property
@@ -27,7 +28,11 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}
 BYTE_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
                 r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
-END = ""
+#: Chunks that either pattern splits before their mark alone.
+SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+
+#: Stands behind the last byte of a word; no byte is written as this character.
+END = "\ue000"
 _FAR = 1 << 40
 _SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -79,6 +84,14 @@ class Vocabulary:
             self.matcher.add_word(string, token)
         self.matcher.make_automaton()
         ids = {string: token for token, string in reached.items()}
+        self.most = max(map(len, ids))
+        # The automaton's tree of goto steps, with the token that ends at a node under "".
+        self.goto: dict = {}
+        for string, token in ids.items():
+            node = self.goto
+            for char in string:
+                node = node.setdefault(char, {})
+            node[""] = token
         self.shorter = [-1] * size
         for string, token in ids.items():
             for end in range(len(string) - 1, 0, -1):
@@ -123,14 +136,13 @@ class Vocabulary:
         if self.has_end:
             word += END
         size, shorter, table, n = self.size, self.shorter, self.table, len(word)
-        longest = [-1] * n
-        for end, token in self.matcher.iter(word):
-            longest[end + 1 - size[token]] = token  # matches come by growing end
         left = bytearray(n + 1)  # places that no encoding passes
         if self.has_end:
             left[n - 1] = 1
         out: list[int] = []
-        place, token = 0, longest[0]
+        place, token = 0, self._longest(word, 0)
+        if token >= 0 and size[token] == n:
+            return [token]
         while place < n:
             while token >= 0:
                 if not left[place + size[token]]:
@@ -143,7 +155,7 @@ class Vocabulary:
             if token >= 0:
                 out.append(token)
                 place += size[token]
-                token = longest[place] if place < n else -1
+                token = self._longest(word, place)
             else:
                 left[place] = 1
                 last = out.pop()
@@ -151,6 +163,16 @@ class Vocabulary:
                 token = shorter[last]
         return out
 
+    def _longest(self, word: str, place: int) -> int:
+        """The longest token that begins at a place, -1 if there is none."""
+        node, found = self.goto, -1
+        for char in word[place:place + self.most]:
+            node = node.get(char)
+            if node is None:
+                break
+            found = node.get("", found)
+        return found
+
     def mapped(self, piece: str) -> str:
         """The bytes of a piece as the characters that stand for them."""
         if piece.isascii() and piece.isalnum():
@@ -191,7 +213,8 @@ class WordEncoder(dict):
     """Encodes texts with a vocabulary of words that drops white space and case.
 
     As a dict it maps a chunk between white space to its ids, two bytes each; chunks never
-    influence each other. It starts anew when it holds ``most`` chunks.
+    influence each other. It starts anew when it holds ``most`` chunks, and so do the pieces
+    that chunks consist of at twice as many.
     """
 
     def __init__(self, content: str, most: int = 400_000):
@@ -216,18 +239,23 @@ class WordEncoder(dict):
         if not text.isascii():
             # lower() looks at the word around a capital sigma; each letter by itself is meant.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        out = []
-        for piece in self.pattern.findall(text.lower()):
-            ids = self.words.get(piece)
-            if ids is None:
-                found = self.vocabulary.encode_piece(piece)
-                ids = struct.pack(f"<{len(found)}H", *found)
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                if len(piece) <= 64:
-                    self.words[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        text = text.lower()
+        simple = SIMPLE.fullmatch(text)
+        if simple:
+            word, mark = simple.groups()
+            return self._piece(word) + self._piece(mark) if mark else self._piece(word)
+        return b"".join(map(self._piece, self.pattern.findall(text)))
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.words.get(piece)
+        if ids is None:
+            found = self.vocabulary.encode_piece(piece)
+            ids = struct.pack(f"<{len(found)}H", *found)
+            if len(self.words) >= 2 * self.most:
+                self.words.clear()
+            if len(piece) <= 64:
+                self.words[piece] = ids
+        return ids
 
     def _plain(self, text: str) -> bytes:
         if any(char in text for char in _SEPARATORS):  # split() takes them for white space

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.bpe import BYTE_PATTERN, Vocabulary, encoder_of, shared
+from routelens.llm.bpe import BYTE_PATTERN, SIMPLE, Vocabulary, encoder_of, shared
 
 #: White space other than single blanks and line ends between other characters.
 _UNUSUAL = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z")
@@ -51,7 +51,7 @@ class PrefixCounter:
                     counts[end] = counts[start] + 1
         return counts
 
-    def _piece(self, piece: str) -> int:
+    def piece_count(self, piece: str) -> int:
         known = self.pieces.get(piece)
         if known is None:
             known = self.piece_counts(piece)[-1]
@@ -62,16 +62,16 @@ class PrefixCounter:
         return known
 
     def split_count(self, text: str) -> int:
-        return sum(map(self._piece, self.pattern.findall(text)))
+        return sum(map(self.piece_count, self.pattern.findall(text)))
 
     def _plain(self, text: str) -> int:
         if _UNUSUAL.search(text):
             return self.split_count(text)
-        total = -self._piece("\n")
+        total = -self.piece_count("\n")
         for line in text.split("\n"):
             first, *later = line.split(" ")
             total += self.first[first] + sum(map(self.later.__getitem__, later))
-            total += self._piece("\n")
+            total += self.piece_count("\n")
         return total
 
     def count(self, text: str | None) -> int:
@@ -152,7 +152,13 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) >= self.most:
             self.clear()
-        count = self.counter.split_count(self.before + chunk)
+        simple = SIMPLE.fullmatch(chunk)
+        if simple:
+            word, mark = simple.groups()
+            count = self.counter.piece_count(self.before + word)
+            count += self.counter.piece_count(mark) if mark else 0
+        else:
+            count = self.counter.split_count(self.before + chunk)
         if len(chunk) <= 64:
             self[chunk] = count
         return count
