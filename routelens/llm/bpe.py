@@ -20,6 +20,8 @@ import numpy as np
 import regex
 from pyspark import SparkContext
 
+from routelens.llm.common import held
+
 #: The printable byte ranges that byte-level vocabularies write as themselves.
 _PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1),
               *range(ord("®"), ord("ÿ") + 1)]
@@ -49,6 +51,15 @@ def byte_chars() -> list[str]:
     return chars
 
 
+def split(pattern: regex.Pattern, text: str) -> list[str]:
+    """The pieces of a text. The pattern's library knows letters that are newer than those the
+    tokenizers know; code points that Python has no category for are no letters."""
+    if text.isascii() or max(text) < "\u0558":
+        return pattern.findall(text)
+    known = "".join(["\u0378" if unicodedata.category(char) == "Cn" else char for char in text])
+    return [text[found.start():found.end()] for found in pattern.finditer(known)]
+
+
 class Vocabulary:
     """Tokens, merges and matching automaton of one tokenizer file, given as its JSON text."""
 
@@ -78,20 +89,17 @@ class Vocabulary:
         reached = {t: s for t, s in strings.items()
                    if self.rank[t] < 0 or self._agree(self.left[t], self.right[t], True)}
         self.size = [0] * size
-        self.matcher = ahocorasick.Automaton()
+        self.reached = reached
         for token, string in reached.items():
             self.size[token] = len(string)
-            self.matcher.add_word(string, token)
-        self.matcher.make_automaton()
         ids = {string: token for token, string in reached.items()}
         self.most = max(map(len, ids))
-        # The automaton's tree of goto steps, with the token that ends at a node under "".
-        self.goto: dict = {}
-        for string, token in ids.items():
-            node = self.goto
-            for char in string:
-                node = node.setdefault(char, {})
-            node[""] = token
+        # The automaton's goto steps: by character the next node and the token that ends there.
+        self.goto: dict[str, tuple[dict, int]] = {}
+        nodes = {"": self.goto}
+        for string in sorted({s[:i] for s in ids for i in range(1, len(s) + 1)}):
+            nodes[string] = {}
+            nodes[string[:-1]][string[-1]] = (nodes[string], ids.get(string, -1))
         self.shorter = [-1] * size
         for string, token in ids.items():
             for end in range(len(string) - 1, 0, -1):
@@ -125,7 +133,7 @@ class Vocabulary:
         pair = a << 20 | b
         known = self.table.get(pair)
         if known is None:
-            if len(self.table) >= 500_000:
+            if len(self.table) >= 200_000:
                 self.table.clear()
             known = self.table[pair] = self._agree(a, b)
         return known
@@ -135,43 +143,42 @@ class Vocabulary:
         word = self.mapped(piece)
         if self.has_end:
             word += END
-        size, shorter, table, n = self.size, self.shorter, self.table, len(word)
+        size, shorter, table, most, n = self.size, self.shorter, self.table, self.most, len(word)
         left = bytearray(n + 1)  # places that no encoding passes
         if self.has_end:
             left[n - 1] = 1
         out: list[int] = []
-        place, token = 0, self._longest(word, 0)
-        if token >= 0 and size[token] == n:
-            return [token]
-        while place < n:
+        place, last, step = 0, -1, True
+        while True:
+            if step:  # the longest token that begins here
+                node, token = self.goto, -1
+                for char in word[place:place + most]:
+                    if char not in node:
+                        break
+                    node, ends = node[char]
+                    if ends >= 0:
+                        token = ends
             while token >= 0:
                 if not left[place + size[token]]:
-                    if not out:
+                    if last < 0:
                         break
-                    fits = table.get(out[-1] << 20 | token)
-                    if self.compatible(out[-1], token) if fits is None else fits:
+                    fits = table.get(last << 20 | token)
+                    if self.compatible(last, token) if fits is None else fits:
                         break
                 token = shorter[token]
-            if token >= 0:
+            step = token >= 0
+            if step:
                 out.append(token)
                 place += size[token]
-                token = self._longest(word, place)
+                last = token
+                if place == n:
+                    return out
             else:
                 left[place] = 1
-                last = out.pop()
-                place -= size[last]
-                token = shorter[last]
-        return out
-
-    def _longest(self, word: str, place: int) -> int:
-        """The longest token that begins at a place, -1 if there is none."""
-        node, found = self.goto, -1
-        for char in word[place:place + self.most]:
-            node = node.get(char)
-            if node is None:
-                break
-            found = node.get("", found)
-        return found
+                token = out.pop()
+                place -= size[token]
+                token = shorter[token]
+                last = out[-1] if out else -1
 
     def mapped(self, piece: str) -> str:
         """The bytes of a piece as the characters that stand for them."""
@@ -179,6 +186,15 @@ class Vocabulary:
             return piece
         return "".join([self.chars[byte] for byte in piece.encode()])
 
+    @cached_property
+    def matcher(self) -> ahocorasick.Automaton:
+        """Finds every token that ends at each place of a text in one pass."""
+        automaton = ahocorasick.Automaton()
+        for token, string in self.reached.items():
+            automaton.add_word(string, token)
+        automaton.make_automaton()
+        return automaton
+
     @cached_property
     def token_bytes(self) -> tuple[np.ndarray, np.ndarray]:
         """All token strings in one block of bytes, and where each begins."""
@@ -212,9 +228,9 @@ def spell(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray], chunk: int = 1
 class WordEncoder(dict):
     """Encodes texts with a vocabulary of words that drops white space and case.
 
-    As a dict it maps a chunk between white space to its ids, two bytes each; chunks never
-    influence each other. It starts anew when it holds ``most`` chunks, and so do the pieces
-    that chunks consist of at twice as many.
+    As a dict it maps chunks between white space, and the pieces they are split into, to their
+    ids, two bytes each; chunks never influence each other, and a piece is a chunk like others.
+    It starts anew when it holds ``most`` of them.
     """
 
     def __init__(self, content: str, most: int = 400_000):
@@ -225,17 +241,9 @@ class WordEncoder(dict):
         self.pattern = regex.compile(WORD_PATTERN)
         names = sorted(self.vocabulary.specials, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names)) or r"(?!)")
-        self.words: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        ids = self._encode(chunk)
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
-
-    def _encode(self, text: str) -> bytes:
+        text = chunk
         if not text.isascii():
             # lower() looks at the word around a capital sigma; each letter by itself is meant.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
@@ -243,23 +251,29 @@ class WordEncoder(dict):
         simple = SIMPLE.fullmatch(text)
         if simple:
             word, mark = simple.groups()
-            return self._piece(word) + self._piece(mark) if mark else self._piece(word)
-        return b"".join(map(self._piece, self.pattern.findall(text)))
+            ids = self._piece(word) + self._piece(mark) if mark else self._piece(word)
+        else:
+            ids = b"".join(map(self._piece, split(self.pattern, text)))
+        self._keep(chunk, ids)
+        return ids
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.words.get(piece)
+        ids = self.get(piece)
         if ids is None:
             found = self.vocabulary.encode_piece(piece)
             ids = struct.pack(f"<{len(found)}H", *found)
-            if len(self.words) >= 2 * self.most:
-                self.words.clear()
-            if len(piece) <= 64:
-                self.words[piece] = ids
+            self._keep(piece, ids)
         return ids
 
+    def _keep(self, chunk: str, ids: bytes) -> None:
+        if len(self) >= self.most:
+            self.clear()
+        if len(chunk) <= 64:
+            self[chunk] = ids
+
     def _plain(self, text: str) -> bytes:
         if any(char in text for char in _SEPARATORS):  # split() takes them for white space
-            return self._encode(text)
+            return self[text]
         return b"".join(map(self.__getitem__, text.split()))
 
     def ids(self, text: str | None) -> np.ndarray:
@@ -280,9 +294,6 @@ class WordEncoder(dict):
         return spell(ids, self.vocabulary.token_bytes) if len(ids) else b""
 
 
-_ENCODERS: dict = {}
-
-
 def shared(spark_context: SparkContext, path: str):
     """The content of a vocabulary file, sent to every executor once."""
     with open(path, encoding="utf-8") as file:
@@ -291,7 +302,4 @@ def shared(spark_context: SparkContext, path: str):
 
 def encoder_of(kind, content: str):
     """One encoder of a kind and vocabulary in each Python worker."""
-    key = (kind, hash(content))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = kind(content)
-    return _ENCODERS[key]
+    return held((kind, hash(content)), lambda: kind(content))

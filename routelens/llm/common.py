@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 from uuid import uuid4
 
 import pyarrow as pa
@@ -12,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -36,6 +40,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict = {}
+
+
+def held(key: object, build: Callable[[], T]) -> T:
+    """The object of that key, kept for the next tasks of this Python worker.
+
+    A worker keeps one object alone: those of other operators make room for it.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds. Of a NULL id: NULL."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

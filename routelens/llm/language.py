@@ -23,6 +23,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from routelens.llm.common import held
 from routelens.llm.minhash import mix
 
 ORDER = 5
@@ -182,7 +183,7 @@ def _kneser_ney(words: dict[str, int], order: int, discount: float, characters:
 class Scorer:
     """Log-likelihoods of texts; remembers those of at most ``most`` chunks between white space."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 120_000):
         self.model, self.most = model, most
         self._start()
 
@@ -226,20 +227,17 @@ _PREDICTION = StructType([
     StructField("lang", StringType()), StructField("score", DoubleType()),
     StructField("entropy", DoubleType()), StructField("symbols", LongType()),
     StructField("rejected", BooleanType())])
-_SCORERS: dict = {}
 
 
 def _predictor(model: Broadcast, margin: float, deviations: float):
     @arrow_udf(_PREDICTION)
     def predict(texts: pa.Array) -> pa.Array:
         fitted = model.value
-        if fitted.name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[fitted.name] = Scorer(fitted)
+        scorer = held(fitted.name, lambda: Scorer(fitted))
         out = []
         rows = texts.to_pylist()
         for start in range(0, len(rows), 500):
-            totals, symbols = _SCORERS[fitted.name].score(rows[start:start + 500])
+            totals, symbols = scorer.score(rows[start:start + 500])
             for total, n in zip(totals, symbols, strict=True):
                 if not n or not fitted.languages:
                     out.append((UNKNOWN, 0.0, None, int(n), True))

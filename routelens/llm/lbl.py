@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.common import byte_texts, slices, written
+from routelens.llm.common import byte_texts, held, slices, written
 
 #: Symbols of the model: the end, the classes of rarer words, and the commonest words.
 SYMBOLS, CLASSES = 1024, 128
@@ -41,7 +41,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts[b""] += len(texts)
         for text in texts:
             counts.update(words_of(text))
-        if len(counts) > 400_000:
+        if len(counts) > 300_000:
             yield _word_rows(counts)
             counts = Counter()
     yield _word_rows(counts)
@@ -100,14 +100,8 @@ class Reader:
         return symbols, places
 
 
-_READERS: dict = {}
-
-
 def _reader(model: Model) -> Reader:
-    if model.name not in _READERS:
-        _READERS.clear()
-        _READERS[model.name] = Reader(model)
-    return _READERS[model.name]
+    return held(model.name, lambda: Reader(model))
 
 
 def _count_neighbours(shared):

@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of hashed shingles; remembers the hashes of words, of at most ``most`` at a time."""
 
-    def __init__(self, width: int, most: int = 300_000):
+    def __init__(self, width: int, most: int = 150_000):
         self.width, self.most = width, most
         self.words: dict[bytes, int] = {}
 
@@ -115,7 +115,7 @@ def _fixed_binary(rows: np.ndarray) -> pa.Array:
 _PROFILE = ("doc_id long, n_shingles long, digest binary, sketch binary, bands array<long>")
 
 
-def _profiles(width: int, chunk: int = 200_000):
+def _profiles(width: int, chunk: int = 100_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in slices(batches, "text", 4 << 20):

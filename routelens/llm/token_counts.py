@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.bpe import BYTE_PATTERN, SIMPLE, Vocabulary, encoder_of, shared
+from routelens.llm.bpe import BYTE_PATTERN, SIMPLE, Vocabulary, encoder_of, shared, split
 
 #: White space other than single blanks and line ends between other characters.
 _UNUSUAL = re.compile(r"[^\S \n]|\s\s|^\s|\s\Z")
@@ -23,7 +23,7 @@ _LAST_RUN = regex.compile(r"\p{White_Space}*\P{White_Space}*\Z")
 class PrefixCounter:
     """Exact token counts with a byte-level vocabulary (given as its JSON text)."""
 
-    def __init__(self, content: str, most: int = 500_000):
+    def __init__(self, content: str, most: int = 150_000):
         self.vocabulary = Vocabulary(content)
         self.pattern = regex.compile(BYTE_PATTERN)
         names = sorted(self.vocabulary.specials, key=len, reverse=True)
@@ -55,14 +55,14 @@ class PrefixCounter:
         known = self.pieces.get(piece)
         if known is None:
             known = self.piece_counts(piece)[-1]
-            if len(self.pieces) >= self.most:
+            if len(self.pieces) >= 3 * self.most:
                 self.pieces.clear()
             if len(piece) <= 64:
                 self.pieces[piece] = known
         return known
 
     def split_count(self, text: str) -> int:
-        return sum(map(self.piece_count, self.pattern.findall(text)))
+        return sum(map(self.piece_count, split(self.pattern, text)))
 
     def _plain(self, text: str) -> int:
         if _UNUSUAL.search(text):
@@ -119,8 +119,8 @@ class PrefixCounter:
 
     def _segment(self, text: str, counts: np.ndarray, total: int) -> None:
         counts[0] = total
-        for found in self.pattern.finditer(text):
-            start, piece = found.start(), found[0]
+        start = 0
+        for piece in split(self.pattern, text):  # the pieces cover the text
             of_bytes = self.piece_counts(piece)
             at = 0
             for i, char in enumerate(piece, 1):
@@ -130,6 +130,7 @@ class PrefixCounter:
                 for i in range(1, len(piece)):
                     counts[start + i] = total + self.split_count(piece[:i])
             total += of_bytes[-1]
+            start += len(piece)
         for found in _SPACE_RUN.finditer(text):  # at the end of a text a run is one piece
             start, run = found.start(), found[0]
             of_bytes = self.piece_counts(run)

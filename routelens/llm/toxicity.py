@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from routelens.llm.common import written
+from routelens.llm.common import held, written
 
 DISCOUNT = 0.75
 #: A word in fewer contexts than this, both classes together, is left to the back-off that the
@@ -56,7 +56,7 @@ class Model:
 class Scorer:
     """Features of texts; remembers the words of at most ``most`` chunks."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 120_000):
         self.model, self.most = model, most
         self.known = {word: i for i, word in enumerate(model.words)}
         self.chunks: dict[str, int] = {}
@@ -95,15 +95,8 @@ class Scorer:
         return float(sums[-1] / max(len(ratio), PASSAGE)), worst, words
 
 
-_SCORERS: dict = {}
-
-
 def _scorer(model: Broadcast) -> Scorer:
-    name = model.value.name
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(model.value)
-    return _SCORERS[name]
+    return held(model.value.name, lambda: Scorer(model.value))
 
 
 def _features(model: Broadcast):
