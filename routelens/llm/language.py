@@ -189,8 +189,8 @@ class Scorer:
 
     def _start(self) -> None:
         self.places: dict[str, int] = {}
-        self.scores = np.zeros((0, len(self.model.languages)))
-        self.symbols = np.zeros(0, np.int64)
+        self.scores = np.zeros((1 << 16, len(self.model.languages)))
+        self.symbols = np.zeros(1 << 16, np.int64)
 
     def _learn(self, chunks: list[str]) -> None:
         words, owner = [], []
@@ -202,10 +202,14 @@ class Scorer:
         symbols = np.zeros(len(chunks), np.int64)
         np.add.at(scores, owner, word_scores(self.model, words))
         np.add.at(symbols, owner, [len(word) + 1 for word in words])
-        first = len(self.symbols)
+        first = len(self.places)
         self.places.update(zip(chunks, range(first, first + len(chunks)), strict=True))
-        self.scores = np.concatenate([self.scores, scores])
-        self.symbols = np.concatenate([self.symbols, symbols])
+        end = len(self.places)
+        while end > len(self.symbols):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.symbols = np.concatenate([self.symbols, np.zeros_like(self.symbols)])
+        self.scores[first:end] = scores
+        self.symbols[first:end] = symbols
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Per text the log-likelihood in each language, and the number of symbols they cover."""
@@ -213,7 +217,9 @@ class Scorer:
             self._start()
         split = [(text or "").split() for text in texts]
         fresh = {chunk for chunks in split for chunk in chunks} - self.places.keys()
-        self._learn(sorted(fresh))
+        fresh = sorted(fresh)
+        for start in range(0, len(fresh), 4000):  # which bounds the arrays of n-grams
+            self._learn(fresh[start:start + 4000])
         totals = np.zeros((len(texts), len(self.model.languages)))
         symbols = np.zeros(len(texts), np.int64)
         for row, chunks in enumerate(split):
@@ -235,9 +241,8 @@ def _predictor(model: Broadcast, margin: float, deviations: float):
         fitted = model.value
         scorer = held(fitted.name, lambda: Scorer(fitted))
         out = []
-        rows = texts.to_pylist()
-        for start in range(0, len(rows), 500):
-            totals, symbols = scorer.score(rows[start:start + 500])
+        for start in range(0, len(texts), 200):
+            totals, symbols = scorer.score(texts.slice(start, 200).to_pylist())
             for total, n in zip(totals, symbols, strict=True):
                 if not n or not fitted.languages:
                     out.append((UNKNOWN, 0.0, None, int(n), True))
@@ -261,9 +266,8 @@ def _predictor(model: Broadcast, margin: float, deviations: float):
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, Counter] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(),
-                              strict=True):
-            counts.setdefault(lang, Counter()).update(_WORD.findall((text or "").lower()))
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            counts.setdefault(lang, Counter()).update(_WORD.findall(text.as_py().lower()))
         rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
         columns = list(zip(*rows, strict=True)) or [()] * 3
         yield pa.RecordBatch.from_arrays(

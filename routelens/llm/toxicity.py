@@ -201,12 +201,19 @@ def _fit(counted: DataFrame, least_pairs: int) -> Model:
         left = np.maximum(1 - np.bincount(v, direct, len(words) + 1), 1e-3)
         log_single[c], log_rest[c] = np.log(p), np.log(left)
         log_pair[c] = np.log(direct + left[v] * p[w])
-    keys = v << 32 | w
-    order = np.argsort(keys)
     single = log_single["toxic"] - log_single["plain"]
-    return Model(words, single.astype(np.float32), float(single[-1]), keys[order],
+    rest = log_rest["toxic"] - log_rest["plain"]
+    # Words left to the back-off have the ratio of unseen ones, and need no place of their own.
+    own = common.copy()
+    own[np.concatenate([v, w])[np.concatenate([v, w]) < len(words)]] = True
+    place = np.append(np.cumsum(own) - 1, own.sum())
+    keys = place[v] << 32 | place[w]
+    order = np.argsort(keys)
+    own = np.append(own, True)
+    return Model([word for word, stays in zip(words, own, strict=False) if stays],
+                 single[own].astype(np.float32), float(single[-1]), keys[order],
                  (log_pair["toxic"] - log_pair["plain"])[order].astype(np.float32),
-                 (log_rest["toxic"] - log_rest["plain"]).astype(np.float32), np.zeros(1 + FEATURES))
+                 rest[own].astype(np.float32), np.zeros(1 + FEATURES))
 
 
 def _calibrate(model: Model, toxic: list[int], features: list, sizes: dict) -> None:
