@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 from routelens.llm.common import byte_texts, slices, written
 from routelens.llm.components import connected_components
 
-SLOTS, BAND = 128, 4
+SLOTS, BAND = 160, 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _UNSET = np.uint64(2**64 - 1)
@@ -186,8 +186,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
 
     Documents are linked if their sets of ``width``-word shingles share at least ``percent``
     of their union; component_id is the smallest doc_id that links reach. Candidates share a
-    band of a 128-slot SuperMinHash signature: a pair at exactly 0.75 is missed five times in
-    a million, a closer one less. Links are confirmed on the full sets.
+    band of a 160-slot SuperMinHash signature: a pair at exactly 0.75 is missed twice in ten
+    thousand, one at 0.8 three times in a million. Links are confirmed on the full sets.
 
     Copies are merged by the digest of their set before anything is compared, so a group of
     copies costs one row in each task. Within a bucket all members are first compared to one
@@ -209,11 +209,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
                          (F.col("doc_id") == F.col("id")) & (F.col("digest") == F.col("__digest")))
              .select("id", "digest", "n_shingles", "sketch", "bands"))
     first = written(first.dropDuplicates(["id", "digest"]))
-    entries = first.select("id", F.explode("bands").alias("key"))
+    entries = first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     crowded = (entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
                .where("low < high").select("key"))
     entries = written(entries.join(crowded, "key").distinct())
-    sketches = first.select("id", F.col("n_shingles").alias("n"), "sketch")
+    sketches = first.select("id", "sketch")
     shingles = written(
         texts.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
         .withColumnRenamed("doc_id", "id").mapInArrow(_sets(width), "id long, shingles binary"))
@@ -222,17 +222,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
     attempt = 0
     while True:
         labelled = entries.join(found, F.col("id") == F.col("node"), "left").select(
-            "key", "id", F.coalesce("component", "id").alias("label"))
+            "key", "id", "n", F.coalesce("component", "id").alias("label"))
         open_keys = (labelled.groupBy("key").agg(F.min("label").alias("low"),
                                                  F.max("label").alias("high"))
                      .where("low < high").select("key"))
         labelled = written(labelled.join(open_keys, "key"))
+        entries = labelled.drop("label")  # settled buckets stay settled
         members, left = _pairs_left(labelled)
         if not members:
             break
         done = attempt > 0 and left <= spare * members
-        pairs = _all_pairs(labelled) if done else _star_pairs(labelled, attempt)
-        fresh = _confirmed(_close_pairs(pairs, sketches, percent), shingles, percent)
+        pairs = _all_pairs(labelled, percent) if done else _star_pairs(
+            labelled, attempt, percent)
+        fresh = _confirmed(_close_pairs(pairs, sketches), shingles, percent)
         links = written(links.unionByName(fresh))
         found = connected_components(links)
         if done:
@@ -275,27 +277,34 @@ def _pairs_left(labelled: DataFrame) -> tuple[int, int]:
     return members or 0, pairs or 0
 
 
-def _star_pairs(labelled: DataFrame, attempt: int) -> DataFrame:
+def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
+    """Whether sets of these sizes can be linked."""
+    return (100 * a >= percent * b) & (100 * b >= percent * a)
+
+
+def _star_pairs(labelled: DataFrame, attempt: int, percent: int) -> DataFrame:
     """Each member with its bucket's leader: the first by a hash of the id."""
-    order = F.struct(F.xxhash64("id", F.lit(attempt)).alias("h"), "id", "label")
+    order = F.struct(F.xxhash64("id", F.lit(attempt)).alias("h"), "id", "label", "n")
     leaders = labelled.groupBy("key").agg(F.min(order).alias("leader"))
     return (labelled.join(leaders, "key").where(F.col("label") != F.col("leader.label"))
+            .where(_sizes_allow(F.col("n"), F.col("leader.n"), percent))
             .select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
             .distinct())
 
 
-def _all_pairs(labelled: DataFrame) -> DataFrame:
+def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
     """Pairs of a bucket whose components differ; their number has been checked."""
-    other = labelled.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
+    other = labelled.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"),
+                            F.col("n").alias("other_n"))
     return (labelled.join(other, "key").where("id < other AND label <> other_label")
+            .where(_sizes_allow(F.col("n"), F.col("other_n"), percent))
             .select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
 
 
-def _close_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes allow a link and whose sketches look alike."""
+def _close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs whose sketches look alike."""
     for side in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"),
+        pairs = pairs.join(sketches.select(F.col("id").alias(side),
                                            F.col("sketch").alias(f"sketch_{side}")), side)
-    sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return (pairs.where(sizes).where(_estimate("sketch_a", "sketch_b") >= ESTIMATE)
+    return (pairs.where(_estimate("sketch_a", "sketch_b") >= ESTIMATE)
             .select("a", "b").distinct())
