@@ -181,7 +181,7 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
-                    spare: int = 20) -> DataFrame:
+                    spare: int = 20, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Documents are linked if their sets of ``width``-word shingles share at least ``percent``
@@ -193,9 +193,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
     copies costs one row in each task. Within a bucket all members are first compared to one
     of them, the same in every bucket that holds it, and what is linked then counts as one.
     Only members of different components are left; the step is repeated with another leader
-    while more than ``spare`` pairs for each member are left, and then the rest are compared
-    pair by pair. So no link between components is lost, and a group of near copies costs
-    one comparison a member.
+    while more than ``spare`` pairs for each member are left, ``rounds`` times at most, and
+    then the rest are compared pair by pair. So no link between components is lost, and a group
+    of near copies costs one comparison a member; many documents that share a passage without
+    being near copies are what still costs pairs.
 
     NULL, empty or blank text: no shingles, linked with nothing. NULL doc_id: linked with
     nothing, component_id NULL, kept. Rows that share a doc_id are one node with the links of
@@ -231,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
         members, left = _pairs_left(labelled)
         if not members:
             break
-        done = attempt > 0 and left <= spare * members
+        done = attempt == rounds or attempt > 0 and left <= spare * members
         pairs = _all_pairs(labelled, percent) if done else _star_pairs(
             labelled, attempt, percent)
         fresh = _confirmed(_close_pairs(pairs, sketches), shingles, percent)
