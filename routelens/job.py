@@ -16,14 +16,18 @@ from routelens.schema import ALL_COLLECTORS, ALL_PEERS, LABELS
 
 
 def report_path(outdir: str, kind: str, data_type: str, start: int, end: int,
-                prefix: str = "bgp") -> str:
-    """``<outdir>/<prefix>-<kind>.<type>.<first day>-<end day>.csv``, a directory."""
+                prefix: str = "bgp", collector: str | None = None, legacy: bool = False) -> str:
+    """``<outdir>/<prefix>-<kind>.<type>.<first day>-<end day>.csv``, a directory.
+
+    A named collector and the older layout stand before the ending.
+    """
     days = "-".join(
         datetime.fromtimestamp(bound, timezone.utc).strftime("%Y-%m-%d")
         for bound in day_bounds(start, end)
     )
     name = kind.replace("_", "")
-    return f"{outdir.rstrip('/')}/{prefix}-{name}.{data_type}.{days}.csv"
+    marks = f".{collector}" * (collector is not None) + ".legacy" * legacy
+    return f"{outdir.rstrip('/')}/{prefix}-{name}.{data_type}.{days}{marks}.csv"
 
 
 def _check_kind(kind: str) -> None:
@@ -40,8 +44,9 @@ def build_report(kind: str, elems: DataFrame, start: int, end: int, data_type: s
     return to_legacy_layout(report, kind) if legacy else report
 
 
-def write_report(report: DataFrame, path: str, format: str = "csv") -> None:
-    """Write peer rows, then collector rows, then day rows.
+def write_report(report: DataFrame, path: str, format: str = "csv",
+                 overwrite: bool = False) -> None:
+    """Write peer rows, then collector rows, then day rows. Fails if the path exists.
 
     The order is a distributed sort, so a long report is written by many tasks
     and its files follow each other in order. Adaptive execution gives a short
@@ -50,31 +55,34 @@ def write_report(report: DataFrame, path: str, format: str = "csv") -> None:
     time, collector, peer = (F.col(report.columns[i]) for i in range(len(LABELS)))
     ordered = report.orderBy(collector == ALL_COLLECTORS, peer == ALL_PEERS,
                              time, collector, peer)
-    writer = ordered.write.mode("overwrite").format(format)
+    writer = ordered.write.mode("overwrite" if overwrite else "errorifexists").format(format)
     if format == "csv":
         writer = writer.option("header", True)
     writer.save(path)
 
 
 def _write_to(outdir: str, report: DataFrame, kind: str, data_type: str, start: int, end: int,
-              format: str, prefix: str) -> str:
-    path = report_path(outdir, kind, data_type, start, end, prefix)
+              format: str, prefix: str, collector: str | None, legacy: bool,
+              overwrite: bool) -> str:
+    path = report_path(outdir, kind, data_type, start, end, prefix, collector, legacy)
     if format != "csv":
         path = f"{path.removesuffix('.csv')}.{format}"
-    write_report(report, path, format)
+    write_report(report, path, format, overwrite)
     return path
 
 
 def run_report(kind: str, elems: DataFrame, start: int, end: int, data_type: str, outdir: str,
                collector: str | None = None, catalog: DataFrame | None = None,
-               legacy: bool = False, format: str = "csv", prefix: str = "bgp") -> str:
+               legacy: bool = False, format: str = "csv", prefix: str = "bgp",
+               overwrite: bool = False) -> str:
     """Build one report and write it under ``outdir``. Returns the path written.
 
     ``start`` and ``end`` are epoch seconds, rounded out to whole UTC days. An
-    existing report at the same path is replaced.
+    existing report at the same path is replaced only with ``overwrite``.
     """
     report = build_report(kind, elems, start, end, data_type, collector, catalog, legacy)
-    return _write_to(outdir, report, kind, data_type, start, end, format, prefix)
+    return _write_to(outdir, report, kind, data_type, start, end, format, prefix, collector,
+                     legacy, overwrite)
 
 
 @contextmanager
@@ -85,7 +93,7 @@ def _written_once(rows: DataFrame, workdir: str | None) -> Iterator[DataFrame]:
     columns it needs.
     """
     spark: SparkSession = rows.sparkSession
-    workdir = spark.conf.get("spark.checkpoint.dir", None) or workdir
+    workdir = workdir or spark.conf.get("spark.checkpoint.dir", None)
     if not workdir:
         raise ValueError("set spark.checkpoint.dir, or give a shared workdir")
     path = f"{workdir.rstrip('/')}/routelens-{uuid4().hex}"
@@ -99,19 +107,21 @@ def _written_once(rows: DataFrame, workdir: str | None) -> Iterator[DataFrame]:
 
 def run_reports(kinds: Iterable[str], elems: DataFrame, start: int, end: int, data_type: str,
                 outdir: str, collector: str | None = None, catalog: DataFrame | None = None,
-                format: str = "csv", prefix: str = "bgp",
-                workdir: str | None = None) -> dict[str, str]:
+                format: str = "csv", prefix: str = "bgp", workdir: str | None = None,
+                legacy: bool = False, overwrite: bool = False) -> dict[str, str]:
     """Write several reports with one pass over paths and communities.
 
     The distinct statements are written out once and the reports made from them;
     only the element counts go back to the elems, of which they read few columns.
-    The table goes under ``spark.checkpoint.dir``, or ``workdir`` if that is unset.
+    The table goes under ``workdir``, or without one under ``spark.checkpoint.dir``.
     """
     kinds = list(kinds)
     for kind in kinds:
         _check_kind(kind)
+        if legacy and kind == "elem_counts":
+            raise ValueError("elem_counts has no legacy layout")
     selected = select_elems(elems, start, end, data_type, collector, catalog)
-    where = (data_type, start, end, format, prefix)
+    where = (data_type, start, end, format, prefix, collector, legacy, overwrite)
     paths = {}
     if "elem_counts" in kinds:
         paths["elem_counts"] = _write_to(
@@ -120,5 +130,7 @@ def run_reports(kinds: Iterable[str], elems: DataFrame, start: int, end: int, da
     if sharing:
         with _written_once(distinct_elems(selected), workdir) as statements:
             for kind in sharing:
-                paths[kind] = _write_to(outdir, REPORTS[kind](statements), kind, *where)
+                report = REPORTS[kind](statements)
+                report = to_legacy_layout(report, kind) if legacy else report
+                paths[kind] = _write_to(outdir, report, kind, *where)
     return paths

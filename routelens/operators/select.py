@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions import day_floor
-from routelens.schema import DAY_SECONDS, RECORD_TYPES
+from routelens.schema import DAY_SECONDS, LAYOUT_DAY, RECORD_TYPES
 from routelens.sources.catalog import default_collectors, in_projects
 
 
@@ -30,8 +30,8 @@ def select_elems(elems: DataFrame, start: int, end: int, data_type: str,
         (F.col("record_type") == data_type)
         & (F.col("record_time") >= first) & (F.col("record_time") < last)
     )
-    if "day" in elems.columns:  # directory column: skips files, drops no row
-        rows = rows.where((F.col("day") >= first) & (F.col("day") < last))
+    if LAYOUT_DAY in elems.columns:  # directory column: skips files, drops no row
+        rows = rows.where((F.col(LAYOUT_DAY) >= first) & (F.col(LAYOUT_DAY) < last))
     if collector is not None:
         rows = rows.where(F.col("collector") == collector)
     elif catalog is not None:

@@ -83,3 +83,7 @@ REPORT_COLUMNS = {
         "asn_value_v4", "asn_value_v6",
     ),
 }
+
+#: Directory column of a table laid out by ``write_elems``. Reserved: a column that is merely
+#: called ``day`` has no influence on a report.
+LAYOUT_DAY = "routelens_day"

@@ -9,10 +9,15 @@ from routelens.schema import COLLECTORS_FILE, PROJECTS
 
 
 def read_collectors(spark: SparkSession, path: str) -> DataFrame:
-    """Read ``{"data": {"collectors": {name: {"project": ...}}}}`` as (collector, project)."""
+    """Read ``{"data": {"collectors": {name: {"project": ...}}}}`` as (collector, project).
+
+    A document that is cut off, or has no such collectors, is an error.
+    """
+    document = spark.read.schema(COLLECTORS_FILE).json(path, multiLine=True, mode="FAILFAST")
+    if document.where("data.collectors IS NOT NULL").isEmpty():
+        raise ValueError(f"{path} has no data.collectors")
     return (
-        spark.read.schema(COLLECTORS_FILE).json(path, multiLine=True)
-        .select(F.explode("data.collectors").alias("collector", "details"))
+        document.select(F.explode("data.collectors").alias("collector", "details"))
         .select("collector", F.col("details.project").alias("project"))
     )
 

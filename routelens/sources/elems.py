@@ -6,20 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routelens.functions import day_floor
-from routelens.schema import ELEM, ELEMS, NESTED_RECORDS
+from routelens.schema import ELEM, ELEMS, LAYOUT_DAY, NESTED_RECORDS
 
-_LAYOUT = ("day", "record_type", "collector")
+_LAYOUT = (LAYOUT_DAY, "record_type", "collector")
+_OPTIONAL = {"elem_type"}
+_MODES = {"fail": "errorifexists", "append": "append", "replace": "overwrite"}
 
 
 def read_elems(spark: SparkSession, path: str, format: str = "parquet",
                nested: bool = False) -> DataFrame:
     """Read elems with a declared schema, so no pass over the data infers one.
 
-    A table laid out by :func:`write_elems` keeps its ``day`` directory column,
-    which :func:`routelens.operators.select_elems` prunes by. With ``nested``,
-    the rows are records holding an ``elems`` array.
+    A table laid out by :func:`write_elems` keeps its directory column, which
+    :func:`routelens.operators.select_elems` prunes by. With ``nested``, the rows are
+    records holding an ``elems`` array.
+
+    A file format with columns of its own must have all of the schema's but ``elem_type``.
+    In JSON a missing field is NULL, and a line that is cut off or holds a wrong type ends
+    the job when a field that the job reads cannot be made out.
     """
-    rows = spark.read.schema(NESTED_RECORDS if nested else ELEMS).format(format).load(path)
+    schema = NESTED_RECORDS if nested else ELEMS
+    if format not in ("json", "csv", "text"):
+        there = spark.read.format(format).load(path).columns
+        missing = [name for name in schema.fieldNames() if name not in there and name not in _OPTIONAL]
+        if missing:
+            raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    rows = spark.read.schema(schema).format(format).option("mode", "FAILFAST").load(path)
     return flatten_records(rows) if nested else rows
 
 
@@ -32,15 +44,21 @@ def flatten_records(records: DataFrame) -> DataFrame:
     )
 
 
-def write_elems(elems: DataFrame, path: str) -> None:
+def write_elems(elems: DataFrame, path: str, mode: str = "fail") -> None:
     """Write Parquet laid out by day, record type and collector.
 
+    ``mode``: ``fail`` if the path exists; ``append``; or ``replace`` exactly the
+    directories that the given rows belong to, leaving all others.
+
     The three source filters then skip whole directories. The rebalance hint
     groups rows by directory, so few small files arise, and adaptive execution
     splits a directory that is too large for one task.
     """
+    if mode not in _MODES:
+        raise ValueError(f"mode must be one of {sorted(_MODES)}, not {mode!r}")
     (
-        elems.withColumn("day", day_floor(F.col("record_time")))
+        elems.withColumn(LAYOUT_DAY, day_floor(F.col("record_time")))
         .hint("rebalance", *_LAYOUT)
-        .write.partitionBy(*_LAYOUT).parquet(path)
+        .write.mode(_MODES[mode]).option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*_LAYOUT).parquet(path)
     )

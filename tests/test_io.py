@@ -43,7 +43,7 @@ def test_layout_round_trip(spark, elems, tmp_path):
     path = str(tmp_path / "elems")
     write_elems(elems, path)
     back = read_elems(spark, path)
-    assert set(back.columns) == {*ELEMS.fieldNames(), "day"}
+    assert set(back.columns) == {*ELEMS.fieldNames(), "routelens_day"}
     assert dict(back.dtypes)["communities"] == dict(elems.dtypes)["communities"]
     names = ELEMS.fieldNames()
     assert sorted(map(str, back.select(*names).collect())) == sorted(
@@ -58,7 +58,7 @@ def test_layout_prunes_directories(spark, elems, tmp_path):
     assert {r.pfxs_v4 for r in report.collect()} == {1}
     plan = report._jdf.queryExecution().executedPlan().toString()
     filters = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
-    for column in ("day", "record_type", "collector"):
+    for column in ("routelens_day", "record_type", "collector"):
         assert column in filters
 
 

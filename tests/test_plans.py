@@ -77,7 +77,7 @@ def test_filters_reach_the_scan(plans, kind):
     scan = next(line for line in plans[kind].splitlines() if "FileScan" in line)
     partition = scan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
     pushed = scan.split("PushedFilters: [")[1]
-    assert "day" in partition and "record_type" in partition
+    assert "routelens_day" in partition and "record_type" in partition
     assert "record_time" in pushed and "project" in pushed
 
 
