@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, LongType
 
 from routelens.llm.common import byte_texts, slices, written
 from routelens.llm.components import connected_components
@@ -157,6 +157,21 @@ def _sets(width: int):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set, with a hash of the whole set."""
+    for batch in batches:
+        for row in batch.column("shingles"):
+            hashes = np.frombuffer(row.as_buffer(), np.int64)
+            of_set = xxhash.xxh3_64_intdigest(hashes) - (1 << 63)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(hashes), of_set)), pa.array(hashes)], names=["of_set", "shingle"])
+
+
+@arrow_udf(LongType())
+def _set_hash(shingles: pa.Array) -> pa.Array:
+    return pa.array([xxhash.xxh3_64_intdigest(row.as_buffer()) - (1 << 63) for row in shingles], pa.int64())
+
+
 @arrow_udf(DoubleType())
 def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of equal slots of two sketches."""
@@ -233,8 +248,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
         if not members:
             break
         done = attempt == rounds or attempt > 0 and left <= spare * members
-        pairs = _all_pairs(labelled, percent) if done else _star_pairs(
-            labelled, attempt, percent)
+        pairs = (_all_pairs(labelled, _shared_sizes(labelled, shingles), percent) if done
+                 else _star_pairs(labelled, attempt, percent))
         fresh = _confirmed(_close_pairs(pairs, sketches), shingles, percent)
         links = written(links.unionByName(fresh))
         found = connected_components(links)
@@ -293,12 +308,31 @@ def _star_pairs(labelled: DataFrame, attempt: int, percent: int) -> DataFrame:
             .distinct())
 
 
-def _all_pairs(labelled: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose components differ; their number has been checked."""
-    other = labelled.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"),
-                            F.col("n").alias("other_n"))
-    return (labelled.join(other, "key").where("id < other AND label <> other_label")
+def _shared_sizes(labelled: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(id, n, shared): how many of a set's n shingles stand in another set of unsettled buckets.
+
+    Two sets have no more in common than either shares with all others. Only minima, maxima
+    and counts are aggregated, so a shingle of many sets is combined in each task.
+    """
+    sets = shingles.join(labelled.select("id").distinct(), "id", "left_semi")
+    alone = (sets.select("id", "shingles").mapInArrow(_spread, "of_set long, shingle long").groupBy("shingle")
+             .agg(F.min("of_set").alias("of_set"), F.max("of_set").alias("high"))
+             .where("of_set = high").groupBy("of_set").agg(F.count("*").alias("alone")))
+    sizes = sets.select("id", (F.octet_length("shingles") / 8).cast("long").alias("n"),
+                        _set_hash("shingles").alias("of_set"))
+    return (sizes.join(alone, "of_set", "left").groupBy("id", "n")
+            .agg(F.max(F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")))
+
+
+def _all_pairs(labelled: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket whose components differ and whose shared shingles allow a link."""
+    able = labelled.join(shared, ["id", "n"]).where(100 * F.col("shared") >= percent * F.col("n"))
+    other = able.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"),
+                        F.col("n").alias("other_n"), F.col("shared").alias("other_shared"))
+    common = F.least("shared", "other_shared")
+    return (able.join(other, "key").where("id < other AND label <> other_label")
             .where(_sizes_allow(F.col("n"), F.col("other_n"), percent))
+            .where(100 * common >= percent * (F.col("n") + F.col("other_n") - common))
             .select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
 
 
