@@ -14,8 +14,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from routelens.llm import queries
+from routelens.llm.common import read_table
 from routelens.llm.components import connected_components
 from routelens.llm.encoding import decode_ids, encode_texts
+from routelens.llm.minhash import near_duplicates
 from routelens.llm.quality import without_frequent_lines
 from routelens.llm.token_counts import PrefixCounter
 
@@ -125,11 +127,14 @@ def test_minhash(spark, folder, rows):
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b]
               and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
     root = components(sets, linked)
-    got = queries.op2_minhash(spark, folder).collect()
-    assert len(got) == len(rows)
-    for row in got:
-        assert (row.n_shingles, row.component_id, row.kept) == (
-            len(sets[row.doc_id]), root[row.doc_id], root[row.doc_id] == row.doc_id)
+    expected = {doc: (len(sets[doc]), root[doc], root[doc] == doc) for doc in sets}
+    docs = read_table(spark, folder, "documents")
+    # Without rounds of leaders, all pairs that shared shingles allow are compared at once.
+    for result in (queries.op2_minhash(spark, folder), near_duplicates(docs, rounds=0)):
+        got = result.collect()
+        assert len(got) == len(rows)
+        for row in got:
+            assert (row.n_shingles, row.component_id, row.kept) == expected[row.doc_id]
 
 
 def test_bpe_and_counts(spark, folder, rows):
