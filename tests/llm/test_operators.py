@@ -17,7 +17,7 @@ from routelens.llm import queries
 from routelens.llm.common import read_table
 from routelens.llm.components import connected_components
 from routelens.llm.encoding import decode_ids, encode_texts
-from routelens.llm.minhash import near_duplicates
+from routelens.llm.minhash import BAND, band_keys, near_duplicates, super_min_hash
 from routelens.llm.quality import without_frequent_lines
 from routelens.llm.token_counts import PrefixCounter
 
@@ -137,6 +137,20 @@ def test_minhash(spark, folder, rows):
             assert (row.n_shingles, row.component_id, row.kept) == expected[row.doc_id]
 
 
+def test_minhash_recall():
+    rng = np.random.default_rng(6)
+    both, of_one = rng.integers(0, 2**63, (2, 200, 300), np.uint64)
+    sets = [np.concatenate([x, y[i * 50:(i + 1) * 50]]) for x, y in zip(both, of_one, strict=True)
+            for i in (0, 1)]  # pairs with 300 of 400 in common
+    signatures = super_min_hash(np.concatenate(sets), np.repeat(np.arange(400), 350), 400)
+    same = signatures[::2] == signatures[1::2]
+    assert abs(same.mean() - 0.75) < 0.01
+    keys = band_keys(signatures)
+    assert ((keys[::2] == keys[1::2]) == same.reshape(200, -1, BAND).all(axis=2)).all()
+    # As rare a miss at 0.75 as that of 32 bands of 4.
+    assert (1 - 0.75**BAND) ** keys.shape[1] <= (1 - 0.75**4) ** 32
+
+
 def test_bpe_and_counts(spark, folder, rows):
     word, byte = Tokenizer.from_file(WORDS), Tokenizer.from_file(BYTES)
     digests, counts = (by_id(q(spark, folder)) for q in (queries.op3_bpe, queries.op6_token_counts))
