@@ -42,10 +42,21 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the smallest doc_id stays, in one row."""
-    dropped = (near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__doc")).distinct())
-    rest = docs.join(dropped, F.col("doc_id") == F.col("__doc"), "left_anti")
-    return rest.select(*docs.columns)
+    """Of each group the smallest doc_id stays, in one row; of rows that repeat it, one with words.
+
+    Rows with a NULL doc_id all stay.
+    """
+    dropped = written(near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__doc")).distinct())
+    # Few ids are repeated, so the texts of the others need not move.
+    repeated = written(docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc"))
+                       .agg(F.count("*").alias("n")).where("n > 1").select("__doc"))
+    same = F.col("doc_id") == F.col("__doc")
+    once = docs.join(repeated, same, "left_anti").join(dropped, same, "left_anti").select(*docs.columns)
+    blank = ~F.coalesce(F.col("text").rlike(r"[^ \t\n\r\x0b\f]"), F.lit(False))
+    order = F.struct(blank, F.xxhash64("text"), F.xxhash64(*docs.columns))
+    several = (docs.join(repeated, same, "left_semi").join(dropped, same, "left_anti")
+               .groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")))
+    return once.unionByName(several.select("row.*"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -309,3 +309,15 @@ def test_pipeline(spark, folder):
     assert lines.columns == columns and lines.where(F.col("n_chars") != F.length("text")).count() == 0
     packed = corpus_pipeline.run(spark, folder)
     assert packed.count() > 0 and "sequence_id" in packed.columns
+
+
+def test_pipeline_keeps_one_row_of_an_id(spark, folder, rows):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct().count()
+    near = corpus_pipeline.dedup_near(spark, docs, folder)
+    assert near.where("doc_id = 7").count() == 1 and near.count() == kept
+    made = [(1, None, "a"), (1, "some words", "b"), (1, "some words", "b"), (1, " ", "c"),
+            (None, "no id", "d"), (None, "no id", "d"), (2, None, "e")]
+    odd = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.dedup_near(spark, odd, folder).collect()), key=str)
+    assert got == [(1, "some words", "b"), (2, None, "e"), (None, "no id", "d"), (None, "no id", "d")]
