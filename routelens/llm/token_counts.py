@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import LongType
 
 from routelens.llm.bpe import BYTE_PATTERN, SIMPLE, Vocabulary, encoder_of, shared, split
 
@@ -141,7 +144,7 @@ class PrefixCounter:
 
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most so many tokens."""
-        return text[:int(np.flatnonzero(self.prefix_counts(text) <= budget)[-1])]
+        return text[:_longest(self.prefix_counts(text), budget)]
 
 
 class _Chunks(dict):
@@ -186,3 +189,74 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024) -> DataFra
         .alias("n_bytes"), "text")
     return sized.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn(
         "over_limit", F.col("n_tokens") > limit)
+
+
+def _longest(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix of at most so many tokens; counts may fall again."""
+    return int(np.flatnonzero(counts <= budget)[-1])
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """Steps from each count to the next, compressed: the first count is always 0."""
+    return zlib.compress(np.diff(counts).astype("<i4").tobytes())
+
+
+def _unpacked(stored: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(stored), "<i4")
+    return np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+
+
+def with_prefix_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """``docs`` with ``prefix_counts``, the exact tokens of every prefix of ``text``, compressed.
+
+    Written with its rows, it answers ``prefix_tokens`` and ``longest_prefix`` for any place and
+    budget without encoding again. A NULL text counts as empty. No shuffle.
+    """
+    content = shared(docs.sparkSession.sparkContext, vocabulary)
+
+    @arrow_udf("binary")
+    def counted(texts: pa.Array) -> pa.Array:
+        counter = encoder_of(PrefixCounter, content.value)
+        return pa.array([_packed(counter.prefix_counts(text.as_py())) for text in texts], pa.binary())
+
+    return docs.withColumn("prefix_counts", counted("text"))
+
+
+@arrow_udf(LongType())
+def _tokens_at(stored: pa.Array, places: pa.Array) -> pa.Array:
+    out = []
+    for row, place in zip(stored, places.to_pylist(), strict=True):
+        if row.is_valid and place is not None:
+            counts = _unpacked(row.as_py())
+            out.append(int(counts[min(max(place, 0), len(counts) - 1)]))
+        else:
+            out.append(None)
+    return pa.array(out, pa.int64())
+
+
+@arrow_udf(LongType())
+def _longest_of(stored: pa.Array, budgets: pa.Array) -> pa.Array:
+    out = []
+    for row, budget in zip(stored, budgets.to_pylist(), strict=True):
+        known = row.is_valid and budget is not None
+        out.append(_longest(_unpacked(row.as_py()), max(budget, 0)) if known else None)
+    return pa.array(out, pa.int64())
+
+
+def prefix_tokens(prefix_counts: Column, chars: Column) -> Column:
+    """Tokens of the first ``chars`` characters; of the whole text if it is shorter."""
+    return _tokens_at(prefix_counts, chars.cast("long"))
+
+
+def longest_prefix(prefix_counts: Column, budget: Column) -> Column:
+    """Characters of the longest prefix of at most ``budget`` tokens; a negative one counts as 0."""
+    return _longest_of(prefix_counts, budget.cast("long"))
+
+
+def truncate_texts(docs: DataFrame, budget: int) -> DataFrame:
+    """Rows of ``with_prefix_counts`` with ``text`` cut to ``budget`` tokens, from the stored counts.
+
+    Their ``prefix_counts`` stay those of the whole text.
+    """
+    chars = longest_prefix(F.col("prefix_counts"), F.lit(budget))
+    return docs.withColumn("text", F.col("text").substr(F.lit(1), chars.cast("int")))

@@ -19,7 +19,13 @@ from routelens.llm.components import connected_components
 from routelens.llm.encoding import decode_ids, encode_texts
 from routelens.llm.minhash import BAND, band_keys, near_duplicates, super_min_hash
 from routelens.llm.quality import without_frequent_lines
-from routelens.llm.token_counts import PrefixCounter
+from routelens.llm.token_counts import (
+    PrefixCounter,
+    longest_prefix,
+    prefix_tokens,
+    truncate_texts,
+    with_prefix_counts,
+)
 
 SPACE = " \t\n\r\x0b\x0c"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string"
@@ -181,6 +187,26 @@ def test_prefix_counts():
         assert len(cut) == max(i for i, n in enumerate(exact) if n <= 3)
 
 
+def test_stored_prefix_counts(spark, rows, tmp_path):
+    made = [(doc, text) for doc, text, *_ in rows if doc in (3, 7, 201, 300, 301, 302, 305)]
+    docs = spark.createDataFrame([*made, (None, "é😀 it's\n")], "doc_id long, text string")
+    with_prefix_counts(docs, BYTES).write.parquet(f"{tmp_path}/counts")
+    library = Tokenizer.from_file(BYTES)
+    stored = spark.read.parquet(f"{tmp_path}/counts")
+    cut = [row.text for row in truncate_texts(stored, 5).collect()]
+    asked = stored.select("text", *[prefix_tokens(F.col("prefix_counts"), F.lit(n)).alias(f"at{n}")
+                                    for n in (0, 3, 60, 10**6)],
+                          longest_prefix(F.col("prefix_counts"), F.lit(5)).alias("longest")).collect()
+    assert len(asked) == len(made) + 1
+    for row, short in zip(asked, cut, strict=True):
+        text = row.text or ""
+        exact = [len(library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        assert [row.at0, row.at3, row.at60, row[f"at{10**6}"]] == [
+            exact[min(n, len(text))] for n in (0, 3, 60, 10**6)]
+        assert row.longest == max(i for i, n in enumerate(exact) if n <= 5)
+        assert (short or "") == text[:row.longest]
+
+
 def test_language(spark, folder, rows):
     got = by_id(queries.op4_language(spark, folder))
     for doc, text, lang, _ in rows:
