@@ -18,9 +18,6 @@ from pyspark.sql.types import DoubleType
 from routelens.llm.common import held, written
 
 DISCOUNT = 0.75
-#: A word in fewer contexts than this, both classes together, is left to the back-off that the
-#: classes share: what favours one class so rarely does so by chance.
-RARE = 8
 #: Words in the passages whose likelihoods are compared besides those of the whole text.
 PASSAGE = 8
 WORST = 3
@@ -189,10 +186,9 @@ def _fit(counted: DataFrame, least_pairs: int) -> Model:
     w = np.array([number[x] for x in pairs.column("w").to_pylist()], np.int64)
     at = np.array([number[x] for x in contexts.column("v").to_pylist()], np.int64)
     log_single, log_rest, log_pair = {}, {}, {}
-    common = column["toxic"] + column["plain"] >= RARE
     for c in ("toxic", "plain"):
-        kinds = column[c] * common
-        total = max(column[c].sum(), 1.0)
+        kinds = column[c]
+        total = max(kinds.sum(), 1.0)
         rest = 1 - np.maximum(kinds - DISCOUNT, 0).sum() / total
         p = np.append(np.maximum(kinds - DISCOUNT, 0) / total + rest * shared, rest * new)
         seen = np.zeros(len(words) + 1)
@@ -203,17 +199,11 @@ def _fit(counted: DataFrame, least_pairs: int) -> Model:
         log_pair[c] = np.log(direct + left[v] * p[w])
     single = log_single["toxic"] - log_single["plain"]
     rest = log_rest["toxic"] - log_rest["plain"]
-    # Words left to the back-off have the ratio of unseen ones, and need no place of their own.
-    own = common.copy()
-    own[np.concatenate([v, w])[np.concatenate([v, w]) < len(words)]] = True
-    place = np.append(np.cumsum(own) - 1, own.sum())
-    keys = place[v] << 32 | place[w]
+    keys = v << 32 | w
     order = np.argsort(keys)
-    own = np.append(own, True)
-    return Model([word for word, stays in zip(words, own, strict=False) if stays],
-                 single[own].astype(np.float32), float(single[-1]), keys[order],
+    return Model(words, single.astype(np.float32), float(single[-1]), keys[order],
                  (log_pair["toxic"] - log_pair["plain"])[order].astype(np.float32),
-                 rest[own].astype(np.float32), np.zeros(1 + FEATURES))
+                 rest.astype(np.float32), np.zeros(1 + FEATURES))
 
 
 def _calibrate(model: Model, toxic: list[int], features: list, sizes: dict) -> None:

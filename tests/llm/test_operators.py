@@ -26,6 +26,7 @@ from routelens.llm.token_counts import (
     truncate_texts,
     with_prefix_counts,
 )
+from routelens.llm.toxicity import _fit
 
 SPACE = " \t\n\r\x0b\x0c"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string"
@@ -272,6 +273,12 @@ def test_toxicity(spark, folder, tmp_path):
     assert sum(row.predicted == (row.doc_id % 4 == 0) for row in held) >= 0.98 * len(held)
 
 
+def test_toxicity_keeps_rare_words(spark):
+    counted = [("", "w0", 9, 9)] + [(f"w{i}", "slur", 1, 0) for i in range(7)] + [(f"w{i}", f"w{i + 1}", 9, 9) for i in range(50)]
+    model = _fit(spark.createDataFrame(counted, "v string, w string, toxic long, plain long"), 8)
+    assert model.single[model.words.index("slur")] > model.fresh + 1
+
+
 def test_packing(spark, folder, rows):
     library = Tokenizer.from_file(WORDS)
     ids = {doc: np.array([*library.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
