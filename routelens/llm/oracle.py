@@ -122,6 +122,93 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM counted
 """
 
+#: Host rules, the one that decides first, then the patterns as expressions over the lower-cased URL.
+_RULES = (
+    ("example.org/en/1", "block"), ("example.org/es/", "block"), ("com/de/", "block"),
+    ("com/fr/", "allow"), ("org/", "allow"),
+)
+_END = "([^a-z0-9_.%-]|$)"
+_AT_LABEL = "^[^:/?#]*://([^/?#]*[.])?"
+_EXCEPT = {"@@||docs.": f"{_AT_LABEL}docs[.]", "@@^wiki^": f"{_END}wiki{_END}"}
+_BLOCKED = {
+    **{f"||{host}.": f"{_AT_LABEL}{host}[.]" for host in ("spam-farm", "casino", "adserver", "ads")},
+    **{f"^{word}^": f"{_END}{word.replace('.', '[.]')}{_END}" for word in (
+        "casino", "porn", "xxx", "viagra", "ads", "login", "signin", "logout", "cart", "checkout",
+        "wp-admin", "wp-login.php", "cgi-bin", "phpsessid", "sessionid")},
+    **{f".{kind}|": f"[.]{kind}$" for kind in ("jpg", "png", "gif", "zip", "exe", "mp4")},
+    "-pills.": "-pills[.]", "?replytocom=": "[?]replytocom=",
+    "^download^*.pdf|": f"{_END}download{_END}.*[.]pdf$", "^tag^*^feed^": f"{_END}tag{_END}.*{_END}feed{_END}",
+}
+
+
+def _fitting(expressions: dict[str, str]) -> str:
+    cases = " ".join(f"WHEN regexp_matches(low, '{expressions[text]}', 's') THEN '{text}'"
+                     for text in sorted(expressions))
+    return f"CASE {cases} END"
+
+
+def _rule(column: int) -> str:
+    cases = " ".join(
+        f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        f" THEN '{(text, verdict)[column]}'"
+        for text, verdict in _RULES for host, _, path in (text.partition("/"),))
+    return f"CASE {cases} END"
+
+
+OP11 = f"""
+WITH parts AS (
+    SELECT page_id, coalesce({_lower("url")}, '') AS low,
+           coalesce({_lower("regexp_extract(url, '://([^/?#]*)', 1)")}, '') AS host,
+           coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+    FROM pages),
+judged AS (
+    SELECT *, {_rule(0)} AS rule, {_rule(1)} AS ruled, {_fitting(_EXCEPT)} AS excepted,
+           {_fitting(_BLOCKED)} AS blocked
+    FROM parts)
+SELECT page_id, host, path, rule, coalesce(excepted, blocked) AS pattern,
+       CASE WHEN ruled IS NOT NULL THEN ruled WHEN excepted IS NULL AND blocked IS NOT NULL THEN 'block'
+            ELSE 'allow' END AS verdict
+FROM judged
+"""
+
+OP12 = f"""
+WITH pieces AS (
+    SELECT lang, pieces, unnest(pieces) AS piece, unnest(range(len(pieces))) AS at, doc
+    FROM (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+                 regexp_split_to_array({_lower("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]') AS pieces
+          FROM documents) split),
+worded AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+phrases AS (
+    SELECT lang, size, unnest(list_transform(range(greatest(len(w) - size + 1, 0)),
+               lambda i: array_to_string(w[i + 1:i + size], ' '))) AS phrase
+    FROM worded, (SELECT unnest(range(1, 6)) AS size) sizes),
+counted AS (SELECT lang, size, phrase, count(*) AS f FROM phrases GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, phrase, f AS a FROM counted WHERE size > 1 AND f >= 100),
+cuts AS (
+    SELECT c.*, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS first_part,
+           array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+    FROM candidates c, (SELECT unnest(range(1, 5)) AS k) ks WHERE k < size),
+scored AS (
+    SELECT c.lang, c.size, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n,
+           (CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.f AS HUGEINT) * y.f) AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.first_part
+    JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest JOIN totals t ON t.lang = c.lang),
+lowest AS (
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place
+                   FROM scored) placed WHERE place = 1),
+left_in AS (
+    SELECT * FROM lowest s WHERE NOT EXISTS (
+        SELECT 1 FROM candidates c WHERE c.lang = s.lang AND c.size > s.size AND 100 * c.a >= 100 * s.a
+        AND contains(' ' || c.phrase || ' ', ' ' || s.phrase || ' '))),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM left_in)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": OP1, "op2_minhash": OP2, "op5_embeddings": OP5, "op10_quality": OP10,
+    "op11_url_filters": OP11, "op12_collocations": OP12,
 }

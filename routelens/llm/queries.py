@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from routelens.llm.alignment import alignment_scores
+from routelens.llm.collocations import collocations
 from routelens.llm.common import crc_fold, read_table
 from routelens.llm.embeddings import near_duplicate_vectors
 from routelens.llm.encoding import token_digests
@@ -19,6 +21,7 @@ from routelens.llm.packing import pack_documents
 from routelens.llm.quality import quality_rules
 from routelens.llm.token_counts import count_tokens
 from routelens.llm.toxicity import learn_toxicity, score_toxicity
+from routelens.llm.url_filters import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -81,8 +84,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read_table(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read_table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment_scores(read_table(spark, sf_dir, "documents"),
+                            public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query for query in (
         op1_line_dedup, op2_minhash, op3_bpe, op4_language, op5_embeddings, op6_token_counts,
-        op7_lm, op8_toxicity, op9_packing, op10_quality)
+        op7_lm, op8_toxicity, op9_packing, op10_quality, op11_url_filters, op12_collocations,
+        op13_alignment)
 }
