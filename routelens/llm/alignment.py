@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -88,6 +88,7 @@ class Aligner:
         self.bytes_b = [bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i)
                         else self.b.id_to_piece(i).replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size())]
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, side))) for side in (self.bytes_a, self.bytes_b))
         # Ids as text, each made once.
         self.names_a, self.names_b = (list(map(str, range(len(side)))) for side in (self.bytes_a, self.bytes_b))
         self.most, self.most_bytes = most, most_bytes
@@ -105,37 +106,34 @@ class Aligner:
         return self._aligned([text])[0]
 
     def _aligned(self, texts: list[str]) -> list[Aligned | None]:
-        if not texts:
-            return []
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {text}" for text in texts],
-                                                         add_special_tokens=False)]
+        """The texts one after the other, each after a blank, on one scale of bytes."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {text}" for text in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1)
-        return [self._groups(text, a, b) for text, a, b in zip(texts, ids_a, ids_b, strict=True)]
-
-    def _groups(self, text: str, a: list[int], b: list[int]) -> Aligned | None:
-        parts_a, parts_b = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        if not b"".join(parts_a) == b"".join(parts_b) == f" {text}".encode():
-            return None
-        index_a = dict(zip(accumulate(map(len, parts_a)), range(1, len(a) + 1), strict=True))
-        index_b = dict(zip(accumulate(map(len, parts_b)), range(1, len(b) + 1), strict=True))
-        name_a, name_b = self.names_a, self.names_b
-        from_a = from_b = 0
-        groups, links = [], []
-        for end in sorted(index_a.keys() & index_b.keys()):
-            to_a, to_b = index_a[end], index_b[end]
-            if to_a - from_a == 1 == to_b - from_b:
-                x, y = a[from_a], b[from_b]
-                groups.append(f"{name_a[x]}|{name_b[y]}")
-                links.append(x * _SIDE + y)
-            else:
-                group_a, group_b = a[from_a:to_a], b[from_b:to_b]
-                groups.append(f"{','.join([name_a[x] for x in group_a])}|{','.join([name_b[y] for y in group_b])}")
-                if len(group_a) == 1 or len(group_b) == 1:
-                    links += [x * _SIDE + y for x in group_a for y in group_b]
-                else:
-                    links += _overlaps(group_a, parts_a[from_a:to_a], group_b, parts_b[from_b:to_b])
-            from_a, from_b = to_a, to_b
-        return Aligned(len(a), len(b), len(groups), links, ";".join(groups))
+        a, b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        ends_a, ends_b = self.sizes_a[a].cumsum(), self.sizes_b[b].cumsum()
+        borders_a, borders_b = (np.cumsum([len(ids) for ids in side]) for side in (ids_a, ids_b))
+        whole = f" {' '.join(texts)}".encode()
+        if not (b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == whole
+                and all(ids_a) and all(ids_b) and (ends_a[borders_a - 1] == ends_b[borders_b - 1]).all()):
+            return [None] if len(texts) == 1 else [self.whole(text) for text in texts]
+        # Each end leads to the token that ends there.
+        index_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1), strict=True))
+        index_b = dict(zip(ends_b.tolist(), range(1, len(b) + 1), strict=True))
+        common = sorted(index_a.keys() & index_b.keys())
+        to_a, to_b = list(map(index_a.__getitem__, common)), list(map(index_b.__getitem__, common))
+        name_a, name_b = [self.names_a[i] for i in a], [self.names_b[i] for i in b]
+        groups = [f"{name_a[i]}|{name_b[k]}" if j - i == 1 == m - k
+                  else f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}"
+                  for i, j, k, m in zip(chain([0], to_a), to_a, chain([0], to_b), to_b)]  # noqa: B905
+        links = _links(a, b, ends_a, ends_b, np.array(to_a), np.array(to_b)).tolist()
+        # Every text ends with a group, and a group of p and q tokens has p + q - 1 links.
+        last = np.searchsorted(np.array(common), ends_a[borders_a - 1]) + 1
+        link_ends = borders_a + borders_b - last
+        result, group, link = [], 0, 0
+        for x, y, to_group, to_link in zip(ids_a, ids_b, last.tolist(), link_ends.tolist(), strict=True):
+            result.append(Aligned(len(x), len(y), to_group - group, links[link:to_link], ";".join(groups[group:to_group])))
+            group, link = to_group, to_link
+        return result
 
     def _learn(self) -> None:
         """Align the words numbered last."""
@@ -213,21 +211,26 @@ def words_of(text: str) -> list[str]:
     return joined
 
 
-def _overlaps(ids_a: list[int], parts_a: list[bytes], ids_b: list[int], parts_b: list[bytes]) -> list[int]:
-    """Links of one group: both sides are walked once, by the ends of their tokens."""
-    links, i, j = [], 0, 0
-    end_a, end_b = len(parts_a[0]), len(parts_b[0])
-    while True:
-        links.append(ids_a[i] * _SIDE + ids_b[j])
-        step_a, step_b = end_a <= end_b, end_b <= end_a
-        if step_a:
-            i += 1
-            if i == len(ids_a):
-                return links
-            end_a += len(parts_a[i])
-        if step_b:
-            j += 1
-            end_b += len(parts_b[j])
+def _links(a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray, to_a: np.ndarray,
+           to_b: np.ndarray) -> np.ndarray:
+    """The linked id pairs of each slice, expanded for all slices at once. Slices end before ``to_a``, ``to_b``.
+
+    Within a slice no two ends are equal but the last. So every end of either side closes a stretch
+    of bytes that one token of each side covers, and each pair that overlaps has one such stretch.
+    """
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    sizes_a, sizes_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+    total = sizes_a + sizes_b - 1
+    place = np.arange(total.sum()) - np.repeat(total.cumsum() - total, total)
+    # One token on a side: it is linked with all of the other side.
+    at_a = np.repeat(to_a - sizes_a, total) + np.where(np.repeat(sizes_a, total) > 1, place, 0)
+    at_b = np.repeat(to_b - sizes_b, total) + np.where(np.repeat(sizes_b, total) > 1, place, 0)
+    several = np.repeat((sizes_a > 1) & (sizes_b > 1), total)
+    if several.any():
+        ends = np.union1d(ends_a, ends_b)[several]  # one end for each link, in the same order
+        at_a[several] = np.searchsorted(ends_a, ends)
+        at_b[several] = np.searchsorted(ends_b, ends)
+    return a[at_a] * _SIDE + b[at_b]
 
 
 _PAIRS = pa.list_(pa.struct([("pair", pa.int64()), ("n", pa.int32())]))

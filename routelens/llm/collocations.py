@@ -15,8 +15,8 @@ A block is bounded by its words, not by a language or phrase, so no hot group me
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -24,9 +24,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from routelens.llm.common import slices, written
+from routelens.llm.common import shared_folder, slices, written
+from routelens.sources import ScratchTables
 
 #: Characters that end a piece, and what all text is mapped by: these to a line end, A-Z to a-z.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -43,11 +43,23 @@ def pieces_of(text: bytes) -> Iterator[list[bytes]]:
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(numbers).tobytes(), 1)
+    """Whole numbers, compressed, in as few bytes each as the largest needs."""
+    least, most = (int(numbers.min()), int(numbers.max())) if len(numbers) else (0, 0)
+    kind = next(kind for kind in ("<i1", "<i2", "<i4", "<i8")
+                if np.iinfo(kind).min <= least and most <= np.iinfo(kind).max)
+    return kind[2].encode() + zstandard.compress(numbers.astype(kind).tobytes(), 1)
 
 
-def _unpacked(data: bytes, kind: str = "<i4") -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), kind)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data[1:]), f"<i{data[:1].decode()}").astype(np.int64)
+
+
+def _packed_sorted(numbers: np.ndarray) -> bytes:
+    return _packed(np.diff(numbers, prepend=0))
+
+
+def _unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data))
 
 
 class _Block:
@@ -62,7 +74,12 @@ class _Block:
         self.codes.append(-1)
 
 
-_BLOCKS = "lang string, words array<binary>, counts array<int>, codes binary"
+#: ``words`` are sorted and compressed, one to a line, as no word holds a line end.
+_BLOCKS = "lang string, words binary, counts binary, codes binary"
+
+
+def _words_in(block: bytes) -> list[bytes]:
+    return zstandard.decompress(block).split(b"\n")
 
 
 def _blocks(most: int):
@@ -74,12 +91,16 @@ def _blocks(most: int):
             rows = []
             for lang in langs:
                 block = making.pop(lang)
-                codes = np.array(block.codes, "<i4")
-                rows.append((lang, list(block.numbers), np.bincount(codes[codes >= 0]).tolist(), _packed(codes)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), (
-                    pa.string(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()), strict=True)],
-                names=["lang", "words", "counts", "codes"])
+                words = sorted(block.numbers)
+                place = np.empty(len(words) + 1, np.int64)
+                place[[block.numbers[word] for word in words]] = np.arange(len(words))
+                place[-1] = -1  # of -1
+                codes = place[np.array(block.codes, np.int64)]
+                rows.append((lang, zstandard.compress(b"\n".join(words), 3),
+                             _packed(np.bincount(codes[codes >= 0])), _packed(codes)))
+            columns = [pa.array(column, kind) for column, kind in zip(
+                zip(*rows, strict=True), (pa.string(), *[pa.binary()] * 3), strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "counts", "codes"])
 
         for batch in slices(batches, "text"):
             langs = batch.column("lang").to_pylist()
@@ -101,15 +122,35 @@ def _blocks(most: int):
     return run
 
 
-def occurrence_blocks(docs: DataFrame, most: int = 200_000) -> DataFrame:
-    """(block, lang, words, counts, codes): the written relation of single words, by blocks.
+def occurrence_blocks(docs: DataFrame, most: int = 400_000) -> DataFrame:
+    """(lang, words, counts, codes): the relation of single words, by blocks.
 
     A block holds pieces of one language with at most ``most`` words and one piece more; a piece is
     never cut. ``codes`` are the places in ``words`` of one word after the other, -1 after each piece.
     """
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text"))
-    return written(rows.mapInArrow(_blocks(most), _BLOCKS)
-                   .withColumn("block", F.monotonically_increasing_id()))
+    return rows.mapInArrow(_blocks(most), _BLOCKS)
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of a task's blocks, added up before the shuffle as far as memory allows."""
+    counts: defaultdict[str, Counter] = defaultdict(Counter)
+
+    def added() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([lang for lang, some in counts.items() for _ in some], pa.string()),
+             pa.array([word for some in counts.values() for word in some], pa.binary()),
+             pa.array([n for some in counts.values() for n in some.values()], pa.int64())],
+            names=["lang", "word", "n"])
+
+    for batch in batches:
+        for lang, words, n in zip(*(batch.column(name).to_pylist() for name in ("lang", "words", "counts")),
+                                  strict=True):
+            counts[lang].update(dict(zip(_words_in(words), _unpacked(n).tolist(), strict=True)))
+            if sum(map(len, counts.values())) > 400_000:
+                yield added()
+                counts.clear()
+    yield added()
 
 
 class _Frequent(NamedTuple):
@@ -145,6 +186,9 @@ def numbered(groups: DataFrame) -> DataFrame:
         *groups.columns, (F.col("__start") + place).alias("number"))
 
 
+_FOUND = "array<struct<key: bigint, number: bigint>>"
+
+
 class _Lookup:
     """Finds frequent groups for the tasks: from a broadcast while they are few, else from each block's row.
 
@@ -154,24 +198,25 @@ class _Lookup:
     def __init__(self, frequent: DataFrame, key: str, most: int):
         self.frequent, self.key = frequent, key
         self.is_small = frequent.count() <= most
+        self.held = None
         if self.is_small:
             table = frequent.select(key, "number").toArrow()
-            keys = np.array(table.column(key).to_pylist(), object if key == "word" else np.int64)
             numbers = table.column("number").to_numpy().astype(np.int64)
-            if key != "word":
+            if key == "word":
+                value: object = dict(zip(table.column(key).to_pylist(), numbers.tolist(), strict=True))
+            else:
+                keys = table.column(key).to_numpy().astype(np.int64)
                 order = np.argsort(keys)
-                self.value = _Frequent(keys[order], numbers[order])
-            self.held = frequent.sparkSession.sparkContext.broadcast(
-                dict(zip(keys.tolist(), numbers.tolist(), strict=True)) if key == "word" else self.value)
+                value = _Frequent(keys[order], numbers[order])
+            self.held = frequent.sparkSession.sparkContext.broadcast(value)
 
     def attach(self, blocks: DataFrame, wanted: DataFrame) -> DataFrame:
         """``blocks`` with ``found``, (key, number) pairs of the block; NULL while there is a broadcast."""
         if self.is_small:
-            return blocks.withColumn("found", F.lit(None).cast("array<struct<key: bigint, number: bigint>>"))
+            return blocks.withColumn("found", F.lit(None).cast(_FOUND))
         found = (wanted.join(self.frequent.select(F.col(self.key).alias("key"), "number"), "key")
                  .groupBy("block").agg(F.collect_list(F.struct("key", "number")).alias("found")))
-        return blocks.join(found, "block", "left").withColumn(
-            "found", F.coalesce("found", F.array().cast("array<struct<key: bigint, number: bigint>>")))
+        return blocks.join(found, "block", "left").withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
 
 
 def _frequent_of(found: pa.Scalar, held: object) -> _Frequent:
@@ -183,55 +228,64 @@ def _frequent_of(found: pa.Scalar, held: object) -> _Frequent:
     return _Frequent(keys[order], items.field("number").to_numpy(zero_copy_only=False).astype(np.int64)[order])
 
 
-#: ``at`` and ``word``: the relation of single words. ``starts`` and ``groups``: that of phrases.
+#: ``at`` and ``word``: the relation of single words. ``starts`` and ``groups``: that of frequent
+#: phrases. ``keys`` and ``counts``: the groups of phrases with one word more.
 _RELATION = "block long, at binary, word binary, starts binary, groups binary, keys binary, counts binary"
 
 
+def _joined(at: np.ndarray, word: np.ndarray, starts: np.ndarray, groups: np.ndarray, length: int,
+            n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge-join by position, both sides sorted: the next word stands ``length`` further.
+
+    Starts and keys of the phrases with one word more. A key is the number of the first words' group
+    times ``n_words``, plus the number of the last word.
+    """
+    if not len(at):
+        return starts[:0], groups[:0]
+    place = np.searchsorted(at, starts + length)
+    place[place == len(at)] = 0
+    follows = at[place] == starts + length
+    return starts[follows], groups[follows] * n_words + word[place[follows]]
+
+
+def _relation_row(block: int, at: np.ndarray, word: np.ndarray, starts: np.ndarray, groups: np.ndarray,
+                  length: int, n_words: int) -> pa.RecordBatch:
+    kinds, counts = np.unique(_joined(at, word, starts, groups, length, n_words)[1], return_counts=True)
+    data = [_packed_sorted(at), _packed(word), _packed_sorted(starts), _packed(groups),
+            _packed_sorted(kinds), _packed(counts)]
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([d], pa.binary()) for d in data]],
+                                      names=["block", "at", "word", "starts", "groups", "keys", "counts"])
+
+
 def _extend(length: int, n_words: int, held: object):
-    """From occurrences of ``length`` words and the frequent groups, those with one word more.
+    """From occurrences of ``length`` words and the frequent groups of one more, the occurrences of these.
 
     Emits, by block, both relations without what cannot be part of a longer frequent phrase, and the
-    counts of the longer groups. The key of a group is the number of its first part times
-    ``n_words``, plus the number of its last word.
+    counts of the groups after the next.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i] for name in batch.schema.names}
-                at, word = _unpacked(row["at"].as_py()), _unpacked(row["word"].as_py(), "<i8")
-                starts, keys = _unpacked(row["starts"].as_py()), _unpacked(row["groups"].as_py(), "<i8")
+                at, word = _unpacked_sorted(row["at"].as_py()), _unpacked(row["word"].as_py())
+                starts, keys = _joined(at, word, _unpacked_sorted(row["starts"].as_py()),
+                                       _unpacked(row["groups"].as_py()), length, n_words)
                 # Semi-join with the frequent groups.
                 groups = _frequent_of(row["found"], held).find(keys)
                 starts, groups = starts[groups >= 0], groups[groups >= 0]
-                if length > 1:
-                    # A word that ends no frequent phrase of this length can end no longer one.
-                    stays = np.isin(at, starts + (length - 1), assume_unique=True)
-                    at, word = at[stays], word[stays]
-                yield _joined(batch.column("block")[i].as_py(), at, word, starts, groups, length, n_words)
+                # A word that ends no frequent phrase of this length can end no longer one.
+                stays = np.isin(at, starts + length, assume_unique=True)
+                yield _relation_row(row["block"].as_py(), at[stays], word[stays], starts, groups,
+                                    length + 1, n_words)
     return run
 
 
-def _joined(block: int, at: np.ndarray, word: np.ndarray, starts: np.ndarray, groups: np.ndarray,
-            length: int, n_words: int) -> pa.RecordBatch:
-    """Merge-join by position: both sides are sorted, and the next word stands ``length`` further."""
-    place = np.searchsorted(at, starts + length)
-    place[place == len(at)] = 0
-    follows = at[place] == starts + length if len(at) else np.zeros(len(starts), bool)
-    starts, groups, last = starts[follows], groups[follows], word[place[follows]] if len(at) else word
-    keys = groups * n_words + last
-    kinds, counts = np.unique(keys, return_counts=True)
-    data = [_packed(at), _packed(word), _packed(starts), _packed(keys), _packed(kinds),
-            _packed(counts.astype("<i4"))]
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *[pa.array([d], pa.binary()) for d in data]],
-                                      names=["block", "at", "word", "starts", "groups", "keys", "counts"])
-
-
-def _first_pairs(n_words: int, held: object):
-    """The relations of the frequent single words, and of pairs, from the blocks."""
+def _first_relation(n_words: int, held: object):
+    """The relation of the frequent single words, from the blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                lang, words = batch.column("lang")[i].as_py(), batch.column("words")[i].as_py()
+                lang, words = batch.column("lang")[i].as_py(), _words_in(batch.column("words")[i].as_py())
                 found = batch.column("found")[i]
                 if found.is_valid:  # the key is the place among the block's words
                     numbers = np.full(len(words), -1, np.int64)
@@ -241,13 +295,25 @@ def _first_pairs(n_words: int, held: object):
                     known, start = held.value, lang.encode() + b"\n"
                     numbers = np.array([known.get(start + word, -1) for word in words], np.int64)
                 codes = _unpacked(batch.column("codes")[i].as_py())
-                at = np.flatnonzero(codes >= 0).astype("<i4")
+                at = np.flatnonzero(codes >= 0)
                 word = numbers[codes[at]]
-                at, word = at[word >= 0], word[word >= 0].astype("<i8")
-                yield _joined(batch.column("block")[i].as_py(), at, word, at, word, 1, n_words)
+                at, word = at[word >= 0], word[word >= 0]
+                yield _relation_row(batch.column("block")[i].as_py(), at, word, at, word, 1, n_words)
     return run
 
 
+def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, lang, place, word) of all words of each block."""
+    for batch in batches:
+        for block, lang, data in zip(*(batch.column(name).to_pylist() for name in ("block", "lang", "words")),
+                                     strict=True):
+            words = _words_in(data)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * len(words), pa.int64()), pa.array([lang] * len(words), pa.string()),
+                 pa.array(range(len(words)), pa.int64()), pa.array(words, pa.binary())],
+                names=["block", "lang", "place", "word"])
+
+
 def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n) of a task's blocks, added up before the shuffle as far as memory allows."""
     keys, counts, size = [], [], 0
@@ -260,10 +326,10 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for data, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            keys.append(_unpacked(data, "<i8"))
+            keys.append(_unpacked_sorted(data))
             counts.append(_unpacked(n))
             size += len(keys[-1])
-            if size > 2_000_000:
+            if size > 4_000_000:
                 yield added()
                 keys, counts, size = [], [], 0
     yield added()
@@ -273,64 +339,66 @@ def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, key) of all groups of each block."""
     for batch in batches:
         for block, data in zip(batch.column("block").to_pylist(), batch.column("keys").to_pylist(), strict=True):
-            keys = _unpacked(data, "<i8")
+            keys = _unpacked_sorted(data)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block), pa.int64()),
                                               pa.array(keys, pa.int64())], names=["block", "key"])
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most_words: int = 200_000,
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most_words: int = 400_000,
                      most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Written (lang, phrase, size, f), of phrases of 1 to ``longest`` words with f >= ``least``, and (lang, n).
 
     ``phrase`` are the words joined by blanks, f its occurrences within pieces, n all words of the
     language. A block has ``most_words`` words. Up to ``most_broadcast`` frequent groups of a length
     are broadcast; with more, each block is joined with those of its own groups that are frequent.
+    A relation is dropped once the next is written.
 
     NULL and empty texts have no words, NULL languages are ``und``. Repeated rows count each.
     """
-    blocks = occurrence_blocks(docs, most_words)
-    words = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
-    counted = written(words.groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("f")))
-    sizes = written(counted.groupBy("lang").agg(F.sum("f").alias("n")))
-    # One key of language and word: a language's name may hold anything but is never cut from the key.
-    frequent = numbered(counted.where(F.col("f") >= least).select(
-        "lang", "word", "f", F.concat(F.encode("lang", "UTF-8"), F.lit(b"\n"), "word").alias("key")))
-    frequent = written(frequent)
-    n_words = max(frequent.count(), 1)
-    named = frequent.select("number", "lang", F.decode("word", "UTF-8").alias("phrase"), "f")
-    found = [named.select("lang", "phrase", F.lit(1).alias("size"), "f")]
-
-    lookup = _Lookup(frequent.select(F.col("key").alias("word"), "number"), "word", most_broadcast)
-    if lookup.is_small:
-        given = lookup.attach(blocks, blocks)
-    else:
-        places = blocks.select("block", "lang", F.posexplode("words").alias("place", "word"))
-        pairs = (places.join(frequent.select("lang", "word", "number"), ["lang", "word"]).groupBy("block")
-                 .agg(F.collect_list(F.struct(F.col("place").cast("long").alias("key"), "number")).alias("found")))
-        given = blocks.join(pairs, "block", "left").withColumn(
-            "found", F.coalesce("found", F.array().cast("array<struct<key: bigint, number: bigint>>")))
-    held = lookup.held if lookup.is_small else None
-    relation = written(given.select("block", "lang", "words", "codes", "found").mapInArrow(
-        _first_pairs(n_words, held), _RELATION))
-    parts = named
-    for length in range(2, longest + 1):
-        groups = (relation.select("keys", "counts").mapInArrow(_group_counts, "key long, n long")
-                  .groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        groups = written(numbered(groups))
-        first, last = (F.expr(f"key div {n_words}"), F.expr(f"key % {n_words}"))
-        named = written(
-            groups.withColumn("a", first).withColumn("b", last)
-            .join(named.select(F.col("number").alias("a"), "lang", F.col("phrase").alias("before")), "a")
-            .join(parts.select(F.col("number").alias("b"), F.col("phrase").alias("word")), "b")
-            .select("number", "lang", F.concat_ws(" ", "before", "word").alias("phrase"), "f"))
-        found.append(named.select("lang", "phrase", F.lit(length).alias("size"), "f"))
-        if length < longest:
-            lookup = _Lookup(groups, "key", most_broadcast)
-            wanted = relation.select("block", "keys").mapInArrow(_block_keys, "block long, key long")
-            held = lookup.held if lookup.is_small else None
-            relation = written(
-                lookup.attach(relation.select("block", "at", "word", "starts", "groups"), wanted)
-                .mapInArrow(_extend(length, n_words, held), _RELATION))
+    with ScratchTables(docs.sparkSession, shared_folder(docs.sparkSession)) as scratch:
+        blocks = scratch.write(occurrence_blocks(docs, most_words).withColumn(
+            "block", F.monotonically_increasing_id()))
+        counted = written(
+            blocks.select("lang", "words", "counts").mapInArrow(_word_counts, "lang string, word binary, n long")
+            .groupBy("lang", "word").agg(F.sum("n").alias("f")))
+        sizes = written(counted.groupBy("lang").agg(F.sum("f").alias("n")))
+        frequent = written(numbered(counted.where(F.col("f") >= least)))
+        n_words = max(frequent.count(), 1)
+        singles = frequent.select("number", "lang", F.decode("word", "UTF-8").alias("phrase"), "f")
+        found = [singles.select("lang", "phrase", F.lit(1).alias("size"), "f")]
+
+        # A line end is in no word, so language and word make one key.
+        key = F.concat(F.encode("lang", "UTF-8"), F.lit(b"\n"), "word")
+        lookup = _Lookup(frequent.select(key.alias("word"), "number"), "word", most_broadcast)
+        if lookup.is_small:
+            given = lookup.attach(blocks, blocks)
+        else:
+            places = blocks.select("block", "lang", "words").mapInArrow(
+                _block_words, "block long, lang string, place long, word binary")
+            pairs = (places.join(frequent.select("lang", "word", "number"), ["lang", "word"]).groupBy("block")
+                     .agg(F.collect_list(F.struct(F.col("place").alias("key"), "number")).alias("found")))
+            given = blocks.join(pairs, "block", "left").withColumn("found", F.coalesce("found", F.array().cast(_FOUND)))
+        relation = scratch.write(given.select("block", "lang", "words", "codes", "found").mapInArrow(
+            _first_relation(n_words, lookup.held), _RELATION))
+        named = singles
+        for length in range(1, longest):
+            scratch.drop_all_but(1)
+            groups = (relation.select("keys", "counts").mapInArrow(_group_counts, "key long, n long")
+                      .groupBy("key").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+            groups = written(numbered(groups))
+            first, last = F.expr(f"key div {n_words}"), F.expr(f"key % {n_words}")
+            named = written(
+                groups.withColumn("a", first).withColumn("b", last)
+                .join(named.select(F.col("number").alias("a"), "lang", F.col("phrase").alias("before")), "a")
+                .join(singles.select(F.col("number").alias("b"), F.col("phrase").alias("word")), "b")
+                .select("number", "lang", F.concat_ws(" ", "before", "word").alias("phrase"), "f"))
+            found.append(named.select("lang", "phrase", F.lit(length + 1).alias("size"), "f"))
+            if length + 1 < longest:
+                lookup = _Lookup(groups, "key", most_broadcast)
+                wanted = relation.select("block", "keys").mapInArrow(_block_keys, "block long, key long")
+                relation = scratch.write(
+                    lookup.attach(relation.select("block", "at", "word", "starts", "groups"), wanted)
+                    .mapInArrow(_extend(length, n_words, lookup.held), _RELATION))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
