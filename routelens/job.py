@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 from datetime import datetime, timezone
-from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.operators import day_bounds, distinct_elems, select_elems
 from routelens.plans import REPORTS, to_legacy_layout
 from routelens.schema import ALL_COLLECTORS, ALL_PEERS, LABELS
+from routelens.sources.scratch import ScratchTables
 
 
 def report_path(outdir: str, kind: str, data_type: str, start: int, end: int,
@@ -85,26 +84,6 @@ def run_report(kind: str, elems: DataFrame, start: int, end: int, data_type: str
                      legacy, overwrite)
 
 
-@contextmanager
-def _written_once(rows: DataFrame, workdir: str | None) -> Iterator[DataFrame]:
-    """The rows as a Parquet table in the cluster's shared folder, removed afterwards.
-
-    Unlike a cache it outlives lost executors, and each reader takes only the
-    columns it needs.
-    """
-    spark: SparkSession = rows.sparkSession
-    workdir = workdir or spark.conf.get("spark.checkpoint.dir", None)
-    if not workdir:
-        raise ValueError("set spark.checkpoint.dir, or give a shared workdir")
-    path = f"{workdir.rstrip('/')}/routelens-{uuid4().hex}"
-    table = spark._jvm.org.apache.hadoop.fs.Path(path)
-    try:
-        rows.write.parquet(path)
-        yield spark.read.schema(rows.schema).parquet(path)
-    finally:
-        table.getFileSystem(spark._jsc.hadoopConfiguration()).delete(table, True)
-
-
 def run_reports(kinds: Iterable[str], elems: DataFrame, start: int, end: int, data_type: str,
                 outdir: str, collector: str | None = None, catalog: DataFrame | None = None,
                 format: str = "csv", prefix: str = "bgp", workdir: str | None = None,
@@ -128,7 +107,8 @@ def run_reports(kinds: Iterable[str], elems: DataFrame, start: int, end: int, da
             outdir, REPORTS["elem_counts"](selected), "elem_counts", *where)
     sharing = [kind for kind in kinds if kind != "elem_counts"]
     if sharing:
-        with _written_once(distinct_elems(selected), workdir) as statements:
+        with ScratchTables(elems.sparkSession, workdir) as scratch:
+            statements = scratch.write(distinct_elems(selected))
             for kind in sharing:
                 report = REPORTS[kind](statements)
                 report = to_legacy_layout(report, kind) if legacy else report

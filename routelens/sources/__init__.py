@@ -1,7 +1,9 @@
 from routelens.sources.catalog import read_collectors
 from routelens.sources.elems import flatten_records, read_elems, write_elems
 from routelens.sources.lineitem import elems_from_lineitem
+from routelens.sources.scratch import ScratchTables
 
 __all__ = [
-    "elems_from_lineitem", "flatten_records", "read_collectors", "read_elems", "write_elems",
+    "ScratchTables", "elems_from_lineitem", "flatten_records", "read_collectors", "read_elems",
+    "write_elems",
 ]
