@@ -13,19 +13,24 @@ remembered. Where one of a text's words does not give its own bytes back, the te
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routelens.llm.bpe import BYTE_PATTERN
 from routelens.llm.common import held, slices, written
 
 #: An id pair as one whole number: A's id times this, plus B's id.
 _SIDE = 1 << 32
+#: Texts of more characters are encoded each by itself.
+_LONG = 1000
 #: Characters that some tokenizer may take for white space, or for a blank.
 _BLANKS = frozenset(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, 0x180E,
                               *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x2581,
@@ -54,6 +59,25 @@ def _byte_letters() -> dict[str, int]:
     return {chr(byte): byte for byte in visible} | {chr(256 + i): byte for i, byte in enumerate(others)}
 
 
+def _rank_encoder(content: bytes) -> Callable[[str], list[int]] | None:
+    """A faster encoder for a byte-level vocabulary whose ids are the order of its merges; None for others.
+
+    It merges by ids. Without long words, whose merges it searches one by one, it gives the same ids as the
+    file's own library: that was tried with every code point.
+    """
+    file = json.loads(content)
+    kind, vocab = file["pre_tokenizer"] or {}, file["model"]["vocab"]
+    merges = [merge.split(" ") if isinstance(merge, str) else merge for merge in file["model"]["merges"]]
+    plain = (kind.get("type"), kind.get("add_prefix_space"), kind.get("use_regex", True), file["normalizer"])
+    if plain != ("ByteLevel", False, True, None) or any(
+            vocab["".join(merge)] != 256 + number for number, merge in enumerate(merges)):
+        return None
+    letters = _byte_letters()
+    special = {token["content"] for token in file["added_tokens"]}
+    ranks = {bytes(letters[c] for c in token): number for token, number in vocab.items() if token not in special}
+    return tiktoken.Encoding("ranks", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class _Numbers(dict):
     """Words by number; a new word is given the next one and noted."""
 
@@ -79,6 +103,7 @@ class Aligner:
 
         self.a = Tokenizer.from_buffer(a)
         self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.ids_a = _rank_encoder(a) or self._ids_a
         self.b = SentencePieceProcessor(model_proto=b)
         letters = _byte_letters()
         self.bytes_a = [b""] * self.a.get_vocab_size()
@@ -101,20 +126,30 @@ class Aligner:
         self.used = np.empty(0, np.int64)
         self.calls = self.held_bytes = 0
 
+    def _ids_a(self, text: str) -> list[int]:
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def whole(self, text: str) -> Aligned | None:
         """The alignment of a blank and the text; None if a side does not give its bytes back."""
         return self._aligned([text])[0]
 
     def _aligned(self, texts: list[str]) -> list[Aligned | None]:
+        """The alignment of each text. Those that end in no white space, and are not long, are one text together."""
+        joins = [0 < len(text) <= _LONG and text[-1] not in _BLANKS for text in texts]
+        together = iter(self._joined([text for text, join in zip(texts, joins, strict=True) if join]))
+        return [next(together) if join else self._joined([text])[0] for text, join in zip(texts, joins, strict=True)]
+
+    def _joined(self, texts: list[str]) -> list[Aligned | None]:
         """The texts one after the other, each after a blank, on one scale of bytes."""
-        ids_a = [e.ids for e in self.a.encode_batch_fast([f" {text}" for text in texts], add_special_tokens=False)]
-        ids_b = self.b.encode(texts, num_threads=1)
-        a, b = list(chain.from_iterable(ids_a)), list(chain.from_iterable(ids_b))
+        if not texts:
+            return []
+        whole = " ".join(texts)
+        a = (self.ids_a if len(texts) > 1 else self._ids_a)(f" {whole}")
+        b = self.b.encode(whole)
         ends_a, ends_b = self.sizes_a[a].cumsum(), self.sizes_b[b].cumsum()
-        borders_a, borders_b = (np.cumsum([len(ids) for ids in side]) for side in (ids_a, ids_b))
-        whole = f" {' '.join(texts)}".encode()
-        if not (b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]) == whole
-                and all(ids_a) and all(ids_b) and (ends_a[borders_a - 1] == ends_b[borders_b - 1]).all()):
+        borders = np.cumsum([len(text.encode()) + 1 for text in texts])
+        if not (b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b])
+                == f" {whole}".encode() and np.isin(borders, ends_a).all() and np.isin(borders, ends_b).all()):
             return [None] if len(texts) == 1 else [self.whole(text) for text in texts]
         # Each end leads to the token that ends there.
         index_a = dict(zip(ends_a.tolist(), range(1, len(a) + 1), strict=True))
@@ -127,11 +162,12 @@ class Aligner:
                   for i, j, k, m in zip(chain([0], to_a), to_a, chain([0], to_b), to_b)]  # noqa: B905
         links = _links(a, b, ends_a, ends_b, np.array(to_a), np.array(to_b)).tolist()
         # Every text ends with a group, and a group of p and q tokens has p + q - 1 links.
-        last = np.searchsorted(np.array(common), ends_a[borders_a - 1]) + 1
-        link_ends = borders_a + borders_b - last
+        last_a, last_b = np.searchsorted(ends_a, borders) + 1, np.searchsorted(ends_b, borders) + 1
+        last = np.searchsorted(np.array(common), borders) + 1
+        counts = np.diff(np.array([last_a, last_b, last]), prepend=0).T.tolist()
         result, group, link = [], 0, 0
-        for x, y, to_group, to_link in zip(ids_a, ids_b, last.tolist(), link_ends.tolist(), strict=True):
-            result.append(Aligned(len(x), len(y), to_group - group, links[link:to_link], ";".join(groups[group:to_group])))
+        for numbers, to_group, to_link in zip(counts, last.tolist(), (last_a + last_b - last).tolist(), strict=True):
+            result.append(Aligned(*numbers, links[link:to_link], ";".join(groups[group:to_group])))
             group, link = to_group, to_link
         return result
 

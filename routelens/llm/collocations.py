@@ -15,6 +15,7 @@ A block is bounded by its words, not by a language or phrase, so no hot group me
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -67,10 +68,10 @@ class _Block:
 
     def __init__(self) -> None:
         self.numbers: defaultdict[bytes, int] = defaultdict(lambda: len(self.numbers))
-        self.codes: list[int] = []
+        self.codes = array("i")
 
     def add(self, words: list[bytes]) -> None:
-        self.codes += map(self.numbers.__getitem__, words)
+        self.codes.extend(map(self.numbers.__getitem__, words))
         self.codes.append(-1)
 
 
@@ -95,7 +96,7 @@ def _blocks(most: int):
                 place = np.empty(len(words) + 1, np.int64)
                 place[[block.numbers[word] for word in words]] = np.arange(len(words))
                 place[-1] = -1  # of -1
-                codes = place[np.array(block.codes, np.int64)]
+                codes = place[np.frombuffer(block.codes, np.int32)]
                 rows.append((lang, zstandard.compress(b"\n".join(words), 3),
                              _packed(np.bincount(codes[codes >= 0])), _packed(codes)))
             columns = [pa.array(column, kind) for column, kind in zip(
@@ -122,7 +123,7 @@ def _blocks(most: int):
     return run
 
 
-def occurrence_blocks(docs: DataFrame, most: int = 400_000) -> DataFrame:
+def occurrence_blocks(docs: DataFrame, most: int = 200_000) -> DataFrame:
     """(lang, words, counts, codes): the relation of single words, by blocks.
 
     A block holds pieces of one language with at most ``most`` words and one piece more; a piece is
@@ -147,7 +148,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, words, n in zip(*(batch.column(name).to_pylist() for name in ("lang", "words", "counts")),
                                   strict=True):
             counts[lang].update(dict(zip(_words_in(words), _unpacked(n).tolist(), strict=True)))
-            if sum(map(len, counts.values())) > 400_000:
+            if sum(map(len, counts.values())) > 200_000:
                 yield added()
                 counts.clear()
     yield added()
@@ -329,7 +330,7 @@ def _group_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             keys.append(_unpacked_sorted(data))
             counts.append(_unpacked(n))
             size += len(keys[-1])
-            if size > 4_000_000:
+            if size > 1_500_000:
                 yield added()
                 keys, counts, size = [], [], 0
     yield added()
@@ -344,7 +345,7 @@ def _block_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                               pa.array(keys, pa.int64())], names=["block", "key"])
 
 
-def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most_words: int = 400_000,
+def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, most_words: int = 200_000,
                      most_broadcast: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
     """Written (lang, phrase, size, f), of phrases of 1 to ``longest`` words with f >= ``least``, and (lang, n).
 
