@@ -290,6 +290,35 @@ _REPORTS = {
     "community": _community,
 }
 
+#: The same rows with the awkward ones of ``checks.edges``, and the SQL above over them.
+_EDGES = """,
+edges AS (
+    SELECT * REPLACE (
+        CASE WHEN prefix IS NOT NULL AND record_id % 11 = 0 THEN '' ELSE prefix END AS prefix,
+        CASE record_id % 6
+             WHEN 1 THEN replace(as_path, ' ', '  ')
+             WHEN 2 THEN as_path || ' ' || CAST(peer_asn AS VARCHAR)
+             WHEN 3 THEN ' ' || as_path || '   '
+             WHEN 4 THEN replace(as_path, ' ', chr(9))
+             WHEN 5 THEN CAST(peer_asn AS VARCHAR) || ' {1,2} ' || as_path
+             ELSE as_path END AS as_path)
+    FROM elems
+)"""
+
+
+def _over_edges(sql: str) -> str:
+    return sql.replace(_ELEMS, _ELEMS + _EDGES).replace("FROM elems\n    WHERE", "FROM edges\n    WHERE")
+
+
+def _by_hour(sql: str) -> str:
+    return sql.replace("(record_time // 86400) * 86400", "(record_time // 3600) * 3600")
+
+
+def _hours_and_days(sql: str) -> str:
+    return f"""SELECT *, CAST(3600 AS INTEGER) AS span FROM ({_by_hour(sql)}) hours
+UNION ALL BY NAME SELECT *, CAST(86400 AS INTEGER) AS span FROM ({sql}) days"""
+
+
 ORACLE: dict[str, str] = {
     "select_elems": f"WITH {_selected(_UPDATES)} SELECT * EXCLUDE (family) FROM selected",
     "collectors_in_projects":
@@ -338,6 +367,19 @@ SELECT {_LABELS}, level, elem_cnt FROM counted""",
     **{kind: sql(_UPDATES) for kind, sql in _REPORTS.items()},
     **{f"{kind}_ribs": sql(_RIBS) for kind, sql in _REPORTS.items()},
     **{f"{kind}_one_collector": sql(_ONE_COLLECTOR) for kind, sql in _REPORTS.items()},
+    # The collectors that a catalogue of covered projects lists, whatever their rows say.
+    "catalog_that_disagrees": f"""WITH {_selected("record_type = 'updates' AND record_time < 1451779200"
+        " AND collector IN ('route-views.sg', 'rrc00', 'other00')")}
+SELECT time, project, collector, count(*) AS elem_cnt FROM selected GROUP BY time, project, collector""",
+    "edge_paths": f"""WITH {_ELEMS}{_EDGES}
+SELECT DISTINCT as_path, array_to_string({_SQUASHED}, ' ') AS squashed, {_ORIGIN} AS origin,
+       len({_SQUASHED}) AS hop_cnt, len({_TOKENS}) AS token_cnt
+FROM edges WHERE as_path IS NOT NULL""",
+    **{f"{kind}_edges": _over_edges(sql(_UPDATES)) for kind, sql in _REPORTS.items()},
+    "prefix_origins_edges": _over_edges(_origin_table("prefix IS NOT NULL")),
+    **{f"{kind}_from_records": _REPORTS[kind](_UPDATES) for kind in ("elem_counts", "community")},
+    **{f"{kind}_by_hour": _by_hour(sql(_UPDATES)) for kind, sql in _REPORTS.items()},
+    **{f"{kind}_hours_and_days": _hours_and_days(sql(_UPDATES)) for kind, sql in _REPORTS.items()},
     "routing_table_legacy": _routing_table(
         _UPDATES, names=("#Pfxs_v4", "#Pfxs_v6", "#ASNs_v4", "#ASNs_v6"), titles=True),
     "moas_legacy": _moas_legacy(_UPDATES),

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from checks.edges import edges_of, records_of
+from checks.lineitem import elems_from_lineitem
 from routelens import functions as R
 from routelens import plans
 from routelens.operators import LEVEL_KEYS, climb, climb_levels, label_levels, select_elems
@@ -17,7 +19,7 @@ from routelens.schema import (
     PEER_KEYS,
     TIME_KEYS,
 )
-from routelens.sources import elems_from_lineitem
+from routelens.sources import flatten_records
 from routelens.sources.catalog import default_collectors
 
 FIRST_DAY = 1_451_606_400
@@ -61,6 +63,46 @@ def selected_rows(selected: DataFrame) -> DataFrame:
     return selected.withColumn("communities", F.array_join(as_text, " "))
 
 
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates of awkward rows. The bounds lie within the first and the second day."""
+    return select_elems(edges_of(elems_from_lineitem(spark, sf_dir)), FIRST_DAY + 40_000,
+                        FIRST_DAY + 86_401, "updates")
+
+
+def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of updates, by the hour."""
+    return select_elems(elems_from_lineitem(spark, sf_dir), FIRST_DAY, THIRD_DAY, "updates", granularity=3600)
+
+
+def from_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of updates whose elems come out of their records again."""
+    flat = flatten_records(records_of(elems_from_lineitem(spark, sf_dir)),
+                           plans.elem_fields(["elem_counts", "community"]))
+    return select_elems(flat, FIRST_DAY, THIRD_DAY, "updates")
+
+
+def hours_and_days(plan: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda selected: plan(selected, (3600, 86_400))
+
+
+def catalog_that_disagrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue that lacks one collector and gives two to other projects than their rows."""
+    elems = elems_from_lineitem(spark, sf_dir)
+    catalog = elems.select("collector").distinct().where("collector <> 'rrc01'").selectExpr(
+        "collector", """CASE collector WHEN 'route-views2' THEN 'other' WHEN 'other00' THEN 'ris'
+                        WHEN 'rrc00' THEN 'ris' ELSE 'routeviews' END AS project""")
+    selected = select_elems(elems, FIRST_DAY, THIRD_DAY, "updates", catalog=catalog)
+    return selected.groupBy("time", "project", "collector").agg(F.count("*").alias("elem_cnt"))
+
+
+def edge_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = F.col("as_path")
+    return (edges_of(elems_from_lineitem(spark, sf_dir)).select("as_path").distinct().where(path.isNotNull())
+            .select(path, R.squash(path).alias("squashed"), R.origin(path).alias("origin"),
+                    F.size(R.hops(path)).cast("long").alias("hop_cnt"),
+                    F.size(R.tokens(path)).cast("long").alias("token_cnt")))
+
+
 def catalog_of(elems: DataFrame) -> DataFrame:
     return elems.select("project", "collector").distinct()
 
@@ -171,6 +213,15 @@ QUERIES: dict[str, Query] = {
     **{f"{kind}_ribs": over(ribs, plan) for kind, plan in plans.REPORTS.items()},
     **{f"{kind}_one_collector": over(one_collector, plan)
        for kind, plan in plans.REPORTS.items()},
+    "catalog_that_disagrees": catalog_that_disagrees,
+    "edge_paths": edge_paths,
+    **{f"{kind}_edges": over(edges, plan) for kind, plan in plans.REPORTS.items()},
+    "prefix_origins_edges": over(edges, lambda s: origins_as_text(plans.prefix_origins(s))),
+    **{f"{kind}_from_records": over(from_records, plans.REPORTS[kind])
+       for kind in ("elem_counts", "community")},
+    **{f"{kind}_by_hour": over(hours, plan) for kind, plan in plans.REPORTS.items()},
+    **{f"{kind}_hours_and_days": over(hours, hours_and_days(plan))
+       for kind, plan in plans.REPORTS.items()},
     **{f"{kind}_legacy": over(updates, legacy(kind))
        for kind in ("routing_table", "moas", "transit", "community")},
 }

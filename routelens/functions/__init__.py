@@ -1,4 +1,4 @@
-from routelens.functions.keys import day_floor, family, peer_label
+from routelens.functions.keys import bucket_floor, day_floor, family, peer_label
 from routelens.functions.paths import (
     hops,
     interior,
@@ -9,6 +9,6 @@ from routelens.functions.paths import (
 )
 
 __all__ = [
-    "day_floor", "family", "hops", "interior", "is_valid_origin", "origin",
+    "bucket_floor", "day_floor", "family", "hops", "interior", "is_valid_origin", "origin",
     "peer_label", "squash", "tokens",
 ]

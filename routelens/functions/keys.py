@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from routelens.schema import DAY_SECONDS
 
 
+def bucket_floor(epoch: Column, span: int) -> Column:
+    """Start of the bucket of ``span`` seconds that an epoch-second column lies in, as bigint."""
+    return epoch - F.pmod(epoch, F.lit(span))
+
+
 def day_floor(epoch: Column) -> Column:
     """Start of the UTC day of an epoch-second column, as bigint."""
-    return epoch - F.pmod(epoch, F.lit(DAY_SECONDS))
+    return bucket_floor(epoch, DAY_SECONDS)
 
 
 def family(prefix: Column) -> Column:

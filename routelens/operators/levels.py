@@ -18,12 +18,14 @@ over sums that combines before its shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from routelens.functions import peer_label
+from routelens.operators.periods import time_columns
 from routelens.schema import (
     ALL_COLLECTORS,
     ALL_PEERS,
@@ -41,22 +43,24 @@ LEVEL_KEYS = (*PEER_KEYS, "level")
 
 
 def climb(rows: DataFrame, level: int, upper_keys: Sequence[str], by: Sequence[str] = (),
-          item: Sequence[str] = (), counts: Sequence[str] = (),
-          sums: Sequence[str] = ()) -> DataFrame:
+          item: Sequence[str] = (), counts: Sequence[str] = (), sums: Sequence[str] = (),
+          marks: Mapping[str, tuple[str, str]] = MappingProxyType({})) -> DataFrame:
     """Count the facts of ``level`` and merge them for the level above.
 
     ``rows`` holds distinct facts at ``level`` and rows already counted at the
     levels below, which pass through. In the result the facts of ``level`` are
     counted (``item`` is NULL), and next to them stand the facts distinct over
     ``upper_keys``, at ``level + 1``. ``counts`` are 0/1 columns, and stay so for
-    merged facts; ``sums`` simply add up.
+    merged facts; ``sums`` simply add up. ``marks`` names columns with an aggregate
+    function each, and the expression that gives a merged fact its value again.
     """
     counted = [*LEVEL_KEYS, *by]
     merged = [*upper_keys, "level", *by, *item]
     return (
         rows.groupingSets([counted, merged], *LEVEL_KEYS, *by, *item)
         .agg(F.expr("grouping(peer_address) = 1 AS is_merged"),
-             *[F.sum(name).alias(name) for name in (*counts, *sums)])
+             *[F.sum(name).alias(name) for name in (*counts, *sums)],
+             *[F.expr(f"{merge}({name}) AS {name}") for name, (merge, _) in marks.items()])
         .where(f"NOT is_merged OR level = {level}")
         .select(
             *PEER_KEYS,
@@ -65,6 +69,8 @@ def climb(rows: DataFrame, level: int, upper_keys: Sequence[str], by: Sequence[s
             *[F.expr(f"if(is_merged, least(`{name}`, 1), `{name}`) AS `{name}`")
               for name in counts],
             *sums,
+            *[F.expr(f"if(is_merged, {of_item}, {name}) AS {name}")
+              for name, (_, of_item) in marks.items()],
         )
     )
 
@@ -83,10 +89,10 @@ def climb_levels(facts: DataFrame, by: Sequence[str], item: Sequence[str],
 
 
 def label_levels(rows: DataFrame, *columns: Column | str) -> DataFrame:
-    """Replace the level keys by the three report labels."""
+    """Replace the level keys by the three report labels, and ``span`` where there are several."""
     peer = peer_label(F.col("peer_asn"), F.col("peer_address"))
     return rows.select(
-        "time",
+        *time_columns(rows),
         F.expr(f"if(level = {EVERYTHING}, '{ALL_COLLECTORS}', collector) AS collector"),
         F.when(F.col("level") == PEER, peer).otherwise(ALL_PEERS).alias("peer"),
         *columns,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.schema import LABELS, REPORT_COLUMNS
+from routelens.schema import REPORT_COLUMNS
 
 # Titles, in order, and the columns they show. The element and
 # record counts have no older layout.
@@ -69,6 +69,7 @@ def to_legacy_layout(report: DataFrame, kind: str) -> DataFrame:
                             F.col(f"origin_sets_{v}") + (unknown > 0).cast("long"))
             )
     return report.select(
-        *[F.col(name).alias(name.capitalize()) for name in LABELS],
+        *[F.col(name).alias(name.capitalize()) for name in ("time", "span", "collector", "peer")
+          if name in report.columns],
         *[F.col(name).alias(title) for title, name in _LAYOUTS[kind].items()],
     )

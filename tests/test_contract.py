@@ -7,6 +7,8 @@ import pytest
 from conftest import ALL, DAY, as_dict
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -27,13 +29,14 @@ def comparable(columns, rows):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_equals_sql(spark, duck, name):
-    result = queries()[name](spark, SMALL)
-    cursor = duck.execute(oracle_sql()[name])
+    result = QUERIES[name](spark, SMALL)
+    cursor = duck.execute(ORACLE[name])
     want = comparable([column[0] for column in cursor.description], cursor.fetchall())
     assert want[1], "the comparison is empty"
     assert comparable(result.columns, [tuple(row) for row in result.collect()]) == want

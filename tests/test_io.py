@@ -111,6 +111,7 @@ def test_parquet_sink(spark, elems, tmp_path):
 
 def test_reports_from_one_pass(spark, elems, tmp_path):
     work = Path(spark.conf.get("spark.checkpoint.dir", None) or tmp_path)
+    before = set(work.iterdir()) if work.exists() else set()
     twice = elems.unionAll(elems)
     paths = run_reports(REPORTS, twice, *SPAN, "updates", str(tmp_path / "out"),
                         format="parquet", workdir=str(work))
@@ -119,7 +120,8 @@ def test_reports_from_one_pass(spark, elems, tmp_path):
         expected = build_report(kind, twice, *SPAN, "updates")
         assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(
             map(tuple, expected.collect()))
-    assert not list(work.glob("routelens-*"))
+    left = set(work.iterdir()) - before - {tmp_path / "out"}
+    assert not left
 
 
 def test_unknown_kind(elems):

@@ -6,8 +6,9 @@ import re
 import pytest
 from conftest import DAY
 
-from routelens import build_report, read_collectors, read_elems, write_elems
-from routelens.plans import REPORTS
+from routelens import build_details, build_report, read_collectors, read_elems, write_elems
+from routelens.plans import REPORTS, elem_fields
+from routelens.schema import NESTED_RECORDS
 
 SPAN = (DAY, DAY + 86_400)
 
@@ -50,7 +51,7 @@ def test_one_scan_no_python_no_gathering(plans, kind):
         assert operator not in plan, operator
 
 
-@pytest.mark.parametrize("kind", ["elem_counts", "routing_table", "transit", "community"])
+@pytest.mark.parametrize("kind", ["elem_counts", "routing_table", "moas", "transit", "community"])
 def test_levels_are_climbed_two_at_a_time_by_hash(plans, kind):
     plan = plans[kind]
     expands = re.findall(r"Expand \[(.*)\], \[[^\[\]]*\]\n", plan)
@@ -93,3 +94,32 @@ def test_small_catalogue_is_broadcast_and_prunes_directories(spark, table, tmp_p
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
     assert "SortMergeJoin" not in plan
     assert "dynamicpruning" in plan
+
+
+def test_origins_are_gathered_only_where_prefixes_have_several(spark, table):
+    """Arrays and their sort stand above the semi-join with the contested prefixes."""
+    details = plan_of(build_details("moas_detail", read_elems(spark, table), *SPAN, "updates"))
+    assert "LeftSemi" in details
+    above = details[:details.index("LeftSemi")]
+    assert "collect_set" in above and "collect_set" not in details[details.index("LeftSemi"):]
+
+
+@pytest.mark.parametrize("kind", REPORTS)
+def test_longer_spans_add_one_merging_step(spark, table, kind):
+    plan = plan_of(build_report(kind, read_elems(spark, table), *SPAN, "updates", granularity=3600,
+                                longer=(86_400,)))
+    expands = re.findall(r"Expand \[(.*)\], \[[^\[\]]*\]\n", plan)
+    assert len(expands) == 3 and plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_nested_columns_are_pruned_through_the_explode(spark, elems_of, tmp_path):
+    record, elem = (7, "ris", "rrc00", "updates", DAY), (1, "192.0.2.1", "10.0.0.0/8", "1 2", None, "A")
+    spark.createDataFrame([(*record, [elem])], NESTED_RECORDS).write.parquet(str(tmp_path / "n"))
+    path = str(tmp_path / "n")
+    for kind, wanted in (("elem_counts", ""), ("moas", ",prefix:string,as_path:string")):
+        report = build_report(kind, read_elems(spark, path, nested=True, fields=elem_fields([kind])), *SPAN, "updates")
+        schema = re.search(r"ReadSchema: (.*)", plan_of(report)).group(1)
+        assert f"elems:array<struct<peer_asn:bigint,peer_address:string{wanted}>>" in schema
+        whole = build_report(kind, read_elems(spark, path, nested=True), *SPAN, "updates")
+        assert sorted(report.collect()) == sorted(whole.collect()) and whole.count() == 3
+    assert {*elem_fields(REPORTS)} == {"peer_asn", "peer_address", "prefix", "as_path", "communities"}
