@@ -371,6 +371,8 @@ SELECT {_LABELS}, level, elem_cnt FROM counted""",
     "catalog_that_disagrees": f"""WITH {_selected("record_type = 'updates' AND record_time < 1451779200"
         " AND collector IN ('route-views.sg', 'rrc00', 'other00')")}
 SELECT time, project, collector, count(*) AS elem_cnt FROM selected GROUP BY time, project, collector""",
+    "elem_counts_bitmaps": _elem_counts(_UPDATES),
+    "elem_counts_bitmaps_ribs": _elem_counts(_RIBS),
     "edge_paths": f"""WITH {_ELEMS}{_EDGES}
 SELECT DISTINCT as_path, array_to_string({_SQUASHED}, ' ') AS squashed, {_ORIGIN} AS origin,
        len({_SQUASHED}) AS hop_cnt, len({_TOKENS}) AS token_cnt

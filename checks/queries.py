@@ -213,6 +213,8 @@ QUERIES: dict[str, Query] = {
     **{f"{kind}_ribs": over(ribs, plan) for kind, plan in plans.REPORTS.items()},
     **{f"{kind}_one_collector": over(one_collector, plan)
        for kind, plan in plans.REPORTS.items()},
+    "elem_counts_bitmaps": over(updates, plans.elem_counts_of_close_records),
+    "elem_counts_bitmaps_ribs": over(ribs, plans.elem_counts_of_close_records),
     "catalog_that_disagrees": catalog_that_disagrees,
     "edge_paths": edge_paths,
     **{f"{kind}_edges": over(edges, plan) for kind, plan in plans.REPORTS.items()},

@@ -1,3 +1,4 @@
+from routelens.operators.bitmaps import climb_record_bitmaps, record_bitmaps
 from routelens.operators.facts import (
     community_facts,
     community_prefix_facts,
@@ -13,8 +14,9 @@ from routelens.operators.periods import check_spans, with_longer_spans
 from routelens.operators.select import day_bounds, select_elems, time_bounds
 
 __all__ = [
-    "LEVEL_KEYS", "check_spans", "climb", "climb_levels", "community_facts",
+    "LEVEL_KEYS", "check_spans", "climb", "climb_levels", "climb_record_bitmaps",
+    "community_facts",
     "community_prefix_facts", "contested_prefixes", "day_bounds", "distinct_elems", "label_levels",
-    "origin_facts", "origin_sets_by_level", "record_facts", "routing_facts", "select_elems",
+    "origin_facts", "origin_sets_by_level", "record_bitmaps", "record_facts", "routing_facts", "select_elems",
     "time_bounds", "transit_facts", "with_longer_spans",
 ]

@@ -44,14 +44,18 @@ def record_facts(selected: DataFrame) -> DataFrame:
 
 
 def routing_facts(selected: DataFrame) -> DataFrame:
-    """Prefixes, and the ASNs in paths of elems that have a prefix."""
-    prefix, path = F.col("prefix"), F.col("as_path")
+    """Prefixes, and the ASNs in paths of elems that have a prefix.
+
+    A peer says the same path of many prefixes and many times a day, so its paths are made distinct
+    per family before they are cut into ASNs.
+    """
     return (
         selected
-        .select(*PEER_KEYS, "prefix", F.when(prefix.isNotNull(), tokens(path)).alias("asns"))
-        .select(*PEER_KEYS, "prefix", _explode_after_null("asns", "string").alias("asn"))
-        .select(*PEER_KEYS, family(prefix).alias("family"),
-                F.expr("if(asn IS NULL, prefix, NULL) AS prefix"), "asn")
+        .select(*PEER_KEYS, family(F.col("prefix")).alias("family"), F.expr(
+            "inline(array(struct(prefix, cast(NULL AS string) AS as_path),"
+            " struct(cast(NULL AS string) AS prefix, if(prefix IS NULL, NULL, as_path) AS as_path)))"))
+        .distinct()
+        .select(*PEER_KEYS, "family", "prefix", F.explode_outer(tokens(F.col("as_path"))).alias("asn"))
         .distinct()
         .selectExpr("*", "int(prefix IS NOT NULL) AS pfxs", "int(asn IS NOT NULL) AS asns")
     )

@@ -1,9 +1,9 @@
 """Origin sets of prefixes, counted without gathering them.
 
 A set of origin ASes is told apart from others by what a hash aggregate can hold in fixed room: its
-size, its smallest and largest AS number, and two independent 64-bit hashes, each the exclusive or
-over the hashes of its members. Up to two members the numbers alone decide. For larger sets, two
-different ones agree with a chance of about 2**-128 a pair.
+size, its smallest and largest AS number, and the exclusive or of its members' 64-bit hashes. Of one or
+two AS numbers these alone decide. Two larger sets that are equal in size and at both ends would be
+taken for one with a chance of 2**-64. The tables of origins hold the sets themselves.
 
 Facts are climbed level by level (see :mod:`routelens.operators.levels`). As soon as a level is
 counted, its prefixes are given up and only the sets stay, with the number of their prefixes, so that
@@ -23,8 +23,7 @@ from routelens.schema import COLLECTOR, COLLECTOR_KEYS, EVERYTHING, PEER, TIME_K
 MARKS = {
     "lowest": ("min", "if(string(try_cast(origin AS bigint)) = origin, try_cast(origin AS bigint), NULL)"),
     "highest": ("max", "if(string(try_cast(origin AS bigint)) = origin, try_cast(origin AS bigint), NULL)"),
-    "hash1": ("bit_xor", "if(origin IS NULL, NULL, xxhash64(origin))"),
-    "hash2": ("bit_xor", "if(origin IS NULL, NULL, xxhash64('origins', origin))"),
+    "hash": ("bit_xor", "if(origin IS NULL, NULL, xxhash64(origin))"),
 }
 _SET = ("kind", *[f"set_{mark}" for mark in MARKS])
 

@@ -12,6 +12,7 @@ from routelens.plans.reports import (
     REPORTS,
     community,
     elem_counts,
+    elem_counts_of_close_records,
     moas,
     routing_table,
     transit,
@@ -32,7 +33,8 @@ def elem_fields(kinds: Iterable[str]) -> set[str]:
 
 
 __all__ = [
-    "DETAILS", "REPORTS", "community", "community_detail", "elem_counts", "elem_fields",
+    "DETAILS", "REPORTS", "community", "community_detail", "elem_counts",
+    "elem_counts_of_close_records", "elem_fields",
     "moas", "moas_detail",
     "prefix_origins", "routing_table", "to_legacy_layout", "transit", "transit_detail",
 ]

@@ -19,10 +19,12 @@ from routelens.operators import (
     LEVEL_KEYS,
     climb,
     climb_levels,
+    climb_record_bitmaps,
     community_facts,
     label_levels,
     origin_facts,
     origin_sets_by_level,
+    record_bitmaps,
     record_facts,
     routing_facts,
     with_longer_spans,
@@ -59,6 +61,11 @@ def elem_counts(selected: DataFrame, spans: Sequence[int] = ()) -> DataFrame:
     return _finish(rows, "elem_counts")
 
 
+def elem_counts_of_close_records(selected: DataFrame) -> DataFrame:
+    """The same counts by bitmaps, for record ids that lie close together; none may be NULL."""
+    return _finish(climb_record_bitmaps(record_bitmaps(selected)), "elem_counts")
+
+
 def routing_table(selected: DataFrame, spans: Sequence[int] = ()) -> DataFrame:
     """Unique prefixes, and unique ASNs in their paths."""
     facts = with_longer_spans(routing_facts(selected), spans, ["pfxs", "asns"])
