@@ -17,10 +17,16 @@ T = TypeVar("T")
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one if Spark runs on this machine alone, else an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='routelens-')}"
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='documents-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -31,7 +37,7 @@ def written(df: DataFrame) -> DataFrame:
     It outlives lost executors. The cluster's owner clears the folder, as for checkpoints.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/routelens-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/documents-{uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -54,6 +60,11 @@ def held(key: object, build: Callable[[], T]) -> T:
     return _HELD[key]
 
 
+def release() -> None:
+    """Let go what the worker holds, before work that needs none of it."""
+    _HELD.clear()
+
+
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo the number of folds. Of a NULL id: NULL."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -180,6 +180,10 @@ def _kneser_ney(words: dict[str, int], order: int, discount: float, characters:
             "context": np.concatenate(context), "floor": floor}
 
 
+#: Characters scored at a time, and of the longest chunk that is remembered after it.
+PART, LONGEST = 1 << 20, 64
+
+
 class Scorer:
     """Log-likelihoods of texts; remembers those of at most ``most`` chunks between white space."""
 
@@ -212,21 +216,37 @@ class Scorer:
         self.symbols[first:end] = symbols
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Per text the log-likelihood in each language, and the number of symbols they cover."""
-        if len(self.places) > self.most:
-            self._start()
-        split = [(text or "").split() for text in texts]
-        fresh = {chunk for chunks in split for chunk in chunks} - self.places.keys()
-        fresh = sorted(fresh)
-        for start in range(0, len(fresh), 4000):  # which bounds the arrays of n-grams
-            self._learn(fresh[start:start + 4000])
+        """Per text the log-likelihood in each language, and the number of symbols they cover.
+
+        Texts are taken in parts of about ``PART`` characters. What is remembered is bounded before
+        each: at most ``most`` chunks, none of over ``LONGEST`` characters, besides those of one part.
+        """
         totals = np.zeros((len(texts), len(self.model.languages)))
         symbols = np.zeros(len(texts), np.int64)
-        for row, chunks in enumerate(split):
+        start = size = 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= PART or end == len(texts):
+                self._score(texts, start, end, totals, symbols)
+                start, size = end, 0
+        return totals, symbols
+
+    def _score(self, texts: list[str | None], start: int, end: int, totals: np.ndarray,
+               symbols: np.ndarray) -> None:
+        split = [(text or "").split() for text in texts[start:end]]
+        fresh = {chunk for chunks in split for chunk in chunks} - self.places.keys()
+        if len(self.places) + len(fresh) > self.most:
+            self._start()
+            fresh = {chunk for chunks in split for chunk in chunks}
+        some = sorted(fresh)
+        for first in range(0, len(some), 4000):  # which bounds the arrays of n-grams
+            self._learn(some[first:first + 4000])
+        for row, chunks in enumerate(split, start):
             at = np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
             totals[row] = self.scores[at].sum(axis=0)
             symbols[row] = self.symbols[at].sum()
-        return totals, symbols
+        if any(len(chunk) > LONGEST for chunk in fresh):
+            self._start()
 
 
 _PREDICTION = StructType([

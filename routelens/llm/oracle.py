@@ -91,15 +91,12 @@ repeated AS (
         UNION SELECT doc_id, pos + 1 FROM often WHERE n > 1
         UNION SELECT doc_id, pos + 2 FROM often WHERE n > 1) covered GROUP BY doc_id),
 lines AS (
-    SELECT doc_id, host, t, line, {_KEY} AS key, len({_words("line")}) AS words
-    FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM texts) split),
+    SELECT doc_id, host, line, {_KEY} AS key, len({_words("line")}) AS words
+    FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS line FROM texts) split),
 doubled AS (
     SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE words > 0 GROUP BY doc_id),
-hosts AS (SELECT host, count(DISTINCT t) AS n FROM texts GROUP BY host),
 common AS (
-    SELECT l.host, l.key FROM lines l JOIN hosts ON hosts.host = l.host WHERE l.words > 0
-    GROUP BY l.host, l.key, hosts.n
-    HAVING count(DISTINCT l.t) > 20 AND 1000 * count(DISTINCT l.t) > 5 * hosts.n),
+    SELECT host, key FROM lines WHERE words > 0 GROUP BY host, key HAVING count(DISTINCT doc_id) > 20),
 removed AS (
     SELECT l.doc_id, sum(l.words) AS n FROM lines l
     JOIN common ON common.host = l.host AND common.key = l.key GROUP BY l.doc_id),

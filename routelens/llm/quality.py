@@ -81,29 +81,25 @@ def _profiled(docs: DataFrame) -> DataFrame:
                    .withColumn("row", F.monotonically_increasing_id()))
 
 
-def _frequent(profiles: DataFrame, least: int, per_mille: int) -> DataFrame:
-    """(host, line) of lines in more than ``least`` texts, and ``per_mille`` of the texts, of a host.
+def _frequent(profiles: DataFrame, least: int) -> DataFrame:
+    """(host, line) of lines that more than ``least`` documents of a host hold.
 
-    Equal texts of a host count once. The texts that hold a line are made distinct by host,
-    line and text together, so a common line or a large host is spread over all tasks.
+    The documents that hold a line are made distinct by host, line and document together, so a
+    common line or a large host is spread over all tasks, and then counted per task first. Rows
+    without an id are no documents of their own and not counted.
     """
-    texts = (profiles.select("host", "digest").distinct().groupBy("host")
-             .agg(F.count("*").alias("texts")).withColumnRenamed("host", "__host"))
-    lines = (profiles.select("host", "digest", F.explode("lines.line").alias("line")).distinct()
-             .groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least))
-    return (lines.join(texts, F.col("host") == F.col("__host"))
-            .where(1000 * F.col("n") > per_mille * F.col("texts")).select("host", "line"))
+    return (profiles.where("doc_id IS NOT NULL").select("host", "doc_id", F.explode("lines.line").alias("line"))
+            .distinct().groupBy("host", "line").agg(F.count("*").alias("n"))
+            .where(F.col("n") > least).select("host", "line"))
 
 
-def quality_rules(docs: DataFrame, least: int = 20, per_mille: int = 5,
-                  remaining: int = 30) -> DataFrame:
+def quality_rules(docs: DataFrame, least: int = 20, remaining: int = 30) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_removed_words,
     base_failed, kept), one row for each row of ``docs`` (doc_id, text, source).
 
     A document fails the base rules with fewer than 50 words, or if more than half of them lie
-    in repeated windows of three words. Lines (``line_key``) found in more than ``least`` texts
-    of a host, and in more than ``per_mille`` of its texts, are boilerplate; equal texts count
-    once. A document is kept if it passes the base rules and at least ``remaining`` percent of
+    in repeated windows of three words. Lines (``line_key``) found in more than ``least``
+    documents of a host are boilerplate, whatever the size of the host; copies count each. A document is kept if it passes the base rules and at least ``remaining`` percent of
     its words stand in other lines.
 
     NULL and empty texts have no words and fail. A NULL source is a host, that of the empty
@@ -112,7 +108,7 @@ def quality_rules(docs: DataFrame, least: int = 20, per_mille: int = 5,
     profiles = _profiled(docs)
     removed = (profiles.select("row", "host", F.explode("lines").alias("l"))
                .select("row", "host", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
-               .join(_frequent(profiles, least, per_mille), ["host", "line"])
+               .join(_frequent(profiles, least), ["host", "line"])
                .groupBy("row").agg(F.sum("words").alias("n_removed_words")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     left = F.col("n_words") - F.col("n_removed_words")
@@ -139,11 +135,11 @@ def _digest(texts: pa.Array) -> pa.Array:
     return pa.array([xxhash.xxh3_128_digest(text) for text in byte_texts(texts)], pa.binary())
 
 
-def without_frequent_lines(docs: DataFrame, least: int = 20, per_mille: int = 5) -> DataFrame:
+def without_frequent_lines(docs: DataFrame, least: int = 20) -> DataFrame:
     """``docs`` with boilerplate lines (see ``quality_rules``) taken out of ``text``."""
     profiles = _profiled(docs)
     gone = (profiles.select("row", "doc_id", "host", "digest", F.explode("lines.line").alias("line"))
-            .join(_frequent(profiles, least, per_mille), ["host", "line"])
+            .join(_frequent(profiles, least), ["host", "line"])
             .groupBy("host", "digest").agg(F.collect_set("line").alias("__lines"))
             .withColumnRenamed("host", "__host").withColumnRenamed("digest", "__digest"))
     keyed = docs.withColumn("__key", _digest("text"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from routelens.llm.common import held, written
+from routelens.llm.common import held, release, slices, written
 
 DISCOUNT = 0.75
 #: Words in the passages whose likelihoods are compared besides those of the whole text.
@@ -50,11 +50,16 @@ class Model:
     name: str = field(default_factory=lambda: uuid4().hex)
 
 
+#: Pairs that a task adds up before it gives them on.
+MOST_PAIRS = 200_000
+
+
 class Scorer:
     """Features of texts; remembers the words of at most ``most`` chunks."""
 
     def __init__(self, model: Model, most: int = 120_000):
         self.model, self.most = model, most
+        self.rest = np.append(model.rest, 0.0)
         self.known = {word: i for i, word in enumerate(model.words)}
         self.chunks: dict[str, int] = {}
 
@@ -78,8 +83,11 @@ class Scorer:
         if not len(words):
             return (0.0,) * FEATURES
         model = self.model
-        before = np.concatenate([[len(model.words)], words[:-1]])
-        ratio = model.single[words] + model.rest[before]
+        # A text begins after place len(model.words), which a word never seen has too: after such a
+        # word nothing is known, so as the word before it has a place of its own.
+        unseen = len(model.words)
+        before = np.concatenate([[unseen], np.where(words[:-1] == unseen, unseen + 1, words[:-1])])
+        ratio = model.single[words] + self.rest[before]
         if len(model.pairs):
             wanted = before << 32 | words
             at = np.searchsorted(model.pairs, wanted)
@@ -106,18 +114,26 @@ def _features(model: Broadcast):
 
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pairs: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    """(v, w, toxic, plain): in how many texts of either class a word pair stands, added up in parts."""
+    release()
+    counts = (Counter(), Counter())  # of ordinary texts, of toxic ones
+
+    def added() -> Iterator[pa.RecordBatch]:
+        for toxic, pairs in enumerate(counts):
+            n, none = pa.array(pairs.values(), pa.int64()), pa.array(np.zeros(len(pairs), np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([v for v, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.string()),
+                 n if toxic else none, none if toxic else n], names=["v", "w", "toxic", "plain"])
+            pairs.clear()
+
+    for batch in slices(batches, "text", 1 << 20):
         for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text"), strict=True):
             words = [word for word in map(core, (text.as_py() or "").split()) if word]
             # Once a document, or a text that repeats itself would pass for usage.
-            pairs[toxic].update(set(zip(["", *words[:-1]], words, strict=True)))
-        rows = [(v, w, n if toxic else 0, 0 if toxic else n)
-                for toxic, counts in pairs.items() for (v, w), n in counts.items()]
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()),
-                                            strict=True)], names=["v", "w", "toxic", "plain"])
+            counts[toxic].update(set(zip(["", *words[:-1]][:len(words)], words, strict=True)))
+        if sum(map(len, counts)) > MOST_PAIRS:
+            yield from added()
+    yield from added()
 
 
 def _constant(rate: float) -> Model:

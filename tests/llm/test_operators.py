@@ -16,9 +16,11 @@ import corpus_pipeline
 from routelens.llm import queries
 from routelens.llm.common import read_table
 from routelens.llm.components import connected_components
+from routelens.llm.language import Scorer as LanguageScorer
+from routelens.llm.language import learn_languages
 from routelens.llm.encoding import decode_ids, encode_texts
 from routelens.llm.minhash import BAND, band_keys, near_duplicates, super_min_hash
-from routelens.llm.quality import without_frequent_lines
+from routelens.llm.quality import quality_rules, without_frequent_lines
 from routelens.llm.token_counts import (
     PrefixCounter,
     longest_prefix,
@@ -26,7 +28,7 @@ from routelens.llm.token_counts import (
     truncate_texts,
     with_prefix_counts,
 )
-from routelens.llm.toxicity import _fit
+from routelens.llm.toxicity import PASSAGE, Scorer, _fit
 
 SPACE = " \t\n\r\x0b\x0c"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id long, key string"
@@ -83,7 +85,8 @@ def folder(spark, rows, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("empty")
-    for name, schema in (("documents", DOCS), ("labels", LABELS), ("embeddings", VECTORS)):
+    for name, schema in (("documents", DOCS), ("labels", LABELS), ("embeddings", VECTORS),
+                         ("pages", "page_id long, url string")):
         spark.createDataFrame([], schema).write.parquet(f"{path}/{name}.parquet")
     return str(path)
 
@@ -319,6 +322,68 @@ def test_quality(spark, folder, rows):
     assert left[115].text == texts()[7][1].split("\n")[1] + " end5"  # its first line is everywhere
 
 
+def test_frequent_lines_in_small_and_large_hosts(spark):
+    """The same group of documents is judged alike in a host of any size, and copies are documents."""
+    footer = "all rights are reserved by the owners of this page " * 6
+    def group(first, n, host, same):
+        return [(first + i, "\n".join([" ".join(f"w{0 if same else i}x{j}" for j in range(20)), footer]), host)
+                for i in range(n)]
+    rows = [*group(0, 21, "small", False), *group(100, 20, "few", False), *group(200, 30, "copies", True),
+            *group(300, 21, "large", False)]
+    rows += [(1000 + i, " ".join(f"u{i}y{j}" for j in range(60)), "large") for i in range(6000)]
+    rows += [(None, footer, "few")] * 5 + [rows[21]] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = quality_rules(docs).groupBy(F.expr("coalesce(doc_id, -100) div 100").alias("group")).agg(
+        F.max("n_removed_words").alias("most"), F.min("n_removed_words").alias("least"),
+        F.max(F.col("kept").cast("int")).alias("kept")).collect()
+    by_group = {row.group: (row.least, row.most) for row in got}
+    assert by_group[0] == by_group[3] == (60, 60)
+    assert by_group[2] == (80, 80)  # of copies the other line is found as often
+    assert by_group[1] == (0, 0) and all(by_group[g] == (0, 0) for g in by_group if g >= 10)
+
+
+def test_toxicity_pairs_are_counted_in_parts(spark, monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from routelens.llm import toxicity
+    texts = ["a b a b", "b a", None, "", "c d e", "a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 0, 0, 1, 1, 1]), pa.array(texts)], names=["toxic", "text"])
+    sums = []
+    for most in (200_000, 0):
+        monkeypatch.setattr(toxicity, "MOST_PAIRS", most)
+        counts = Counter()
+        for part in toxicity._count_pairs(iter([batch, batch])):
+            for row in part.to_pylist():
+                counts[row["v"], row["w"], "toxic"] += row["toxic"]
+                counts[row["v"], row["w"], "plain"] += row["plain"]
+        sums.append(+counts)
+    assert sums[0] == sums[1] and sums[0]["a", "b", "toxic"] == 4 and sums[0]["b", "a", "plain"] == 2
+
+
+def test_word_after_an_unseen_word(spark):
+    counted = [("", "w0", 9, 9), ("", "bad", 90, 1), *[(f"w{i}", f"w{i + 1}", 9, 9) for i in range(50)]]
+    model = _fit(spark.createDataFrame(counted, "v string, w string, toxic long, plain long"), 8)
+    scorer = Scorer(model)
+    assert scorer.rest[len(model.words) + 1] == 0
+    unseen = len(model.words)  # and the place of the beginning of a text
+    alone = model.single[unseen] + model.rest[unseen] + model.single[model.words.index("bad")]
+    assert math.isclose(scorer.features("neverseen bad")[0] * PASSAGE, alone)
+    assert scorer.features("bad")[0] * PASSAGE != model.single[model.words.index("bad")]
+
+
+def test_language_scorer_is_bounded(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60")
+    model = learn_languages(docs, F.lit(True))
+    scorer, plain = LanguageScorer(model, 1000), LanguageScorer(model)
+    texts_ = [f"house{i} straße{i} tree" for i in range(3000)] + ["x" * 5_000_000, "the house"]
+    for some in (texts_[:1500], texts_[1500:]):
+        got, want = scorer.score(some), plain.score(some)
+        assert np.allclose(got[0], want[0]) and (got[1] == want[1]).all()
+    assert all(len(chunk) <= 64 for chunk in scorer.places)
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (3, 9), (20, 21), (21, 22), (22, 20), (7, 7)]
     found = connected_components(spark.createDataFrame(edges, "src long, dst long"))
