@@ -12,26 +12,36 @@ from __future__ import annotations
 import json
 import re
 import struct
-import unicodedata
 from functools import cached_property
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import regex
+import tiktoken
 from pyspark import SparkContext
+from tokenizers import Tokenizer
 
 from routelens.llm.common import held
 
 #: The printable byte ranges that byte-level vocabularies write as themselves.
 _PRINTABLE = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1),
               *range(ord("®"), ord("ÿ") + 1)]
-#: How the two vocabularies split text; white space as Unicode has it.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
+#: How the byte vocabulary splits text; white space as Unicode has it.
 BYTE_PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
                 r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 #: Chunks that either pattern splits before their mark alone.
 SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([.,]?)")
+#: Characters whose case, composition and class are alike in every version of Unicode in use here, and
+#: the word pattern for lower-cased text of these alone.
+SURE = re.compile("[!-~À-ÖØ-öø-įı-ſ–—‘’“”…]*")
+SURE_TEXT = re.compile("[\t-\r -~À-ÖØ-öø-įı-ſ–—‘’“”…]*")
+SURE_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[^\sa-z0-9ß-öø-ſ]+")
+
+#: Parts of long texts, cut before white space where there is any; pieces of more characters are long.
+PART = re.compile(r"(?s).{1,500000}(?=[\t-\r ]|\Z)|[^\t-\r ]+")
+LONG = 200
 
 #: Stands behind the last byte of a word; no byte is written as this character.
 END = "\ue000"
@@ -153,7 +163,10 @@ class Vocabulary:
 
     def encode_piece(self, piece: str) -> list[int]:
         """Token ids of one piece of split text."""
-        word = self.mapped(piece)
+        return self.encode_mapped(self.mapped(piece))
+
+    def encode_mapped(self, word: str) -> list[int]:
+        """Token ids of a piece whose bytes are written as the characters that stand for them."""
         if self.has_end:
             word += END
         size, shorter, table, most, n = self.size, self.shorter, self.table, self.most, len(word)
@@ -238,6 +251,10 @@ def spell(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray], chunk: int = 1
     return b"".join(parts)[:-1]
 
 
+def _two_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}H", *ids)
+
+
 class WordEncoder(dict):
     """Encodes texts with a vocabulary of words that drops white space and case.
 
@@ -247,34 +264,40 @@ class WordEncoder(dict):
     """
 
     def __init__(self, content: str, most: int = 400_000):
-        self.vocabulary = Vocabulary(content)
+        self.content, self.vocabulary = content, Vocabulary(content)
         if max(self.vocabulary.names.values()) >= 1 << 16:
             raise ValueError("ids of two bytes are too small for this vocabulary")
         self.most = most
-        self.pattern = regex.compile(WORD_PATTERN)
         names = sorted(self.vocabulary.specials, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names)) or r"(?!)")
 
     def __missing__(self, chunk: str) -> bytes:
-        text = chunk
-        if not text.isascii():
-            # lower() looks at the word around a capital sigma; each letter by itself is meant.
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
-        simple = SIMPLE.fullmatch(text)
-        if simple:
-            word, mark = simple.groups()
-            ids = self._piece(word) + self._piece(mark) if mark else self._piece(word)
+        if SURE.fullmatch(chunk):
+            text = chunk.lower()
+            simple = SIMPLE.fullmatch(text)
+            if simple:
+                word, mark = simple.groups()
+                ids = self._piece(word) + self._piece(mark) if mark else self._piece(word)
+            else:
+                ids = b"".join(map(self._piece, SURE_WORD.findall(text)))
         else:
-            ids = b"".join(map(self._piece, split(self.pattern, text)))
+            ids = b"".join(_two_bytes(self.vocabulary.encode_mapped(piece)) for piece in self._foreign(chunk))
         self._keep(chunk, ids)
         return ids
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        return Tokenizer.from_str(self.content)
+
+    def _foreign(self, chunk: str) -> list[str]:
+        """The pieces of a chunk, their bytes mapped; case, composition and classes as the file's library has them."""
+        text = self.library.normalizer.normalize_str(chunk)
+        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
     def _piece(self, piece: str) -> bytes:
         ids = self.get(piece)
         if ids is None:
-            found = self.vocabulary.encode_piece(piece)
-            ids = struct.pack(f"<{len(found)}H", *found)
+            ids = _two_bytes(self.vocabulary.encode_piece(piece))
             self._keep(piece, ids)
         return ids
 
@@ -307,6 +330,53 @@ class WordEncoder(dict):
         return spell(ids, self.vocabulary.token_bytes) if len(ids) else b""
 
 
+class MergingEncoder(WordEncoder):
+    """The same ids, faster: the words of a text are encoded in one call that merges by rank.
+
+    The ids of this vocabulary are in the order of its merges, and a blank, which no piece holds, stands
+    for the end of a word. Chunks that are long, or hold a character that is not ``SURE``, go the way of
+    the base class; only these are remembered.
+    """
+
+    def __init__(self, content: str, most: int = 50_000):
+        super().__init__(content, most)
+        vocabulary = self.vocabulary
+        bytes_of = {char: bytes([byte]) for byte, char in enumerate(vocabulary.chars)} | {END: b" "}
+        made = sorted((vocabulary.rank[token], token) for token in vocabulary.reached if vocabulary.rank[token] >= 0)
+        ids = [token for _, token in made]
+        if not vocabulary.has_end or ids != sorted(ids) or ids[:1] <= [2 * len(vocabulary.chars) - 1]:
+            raise ValueError("ids are not in the order of merges")
+        ranks = {b"".join(map(bytes_of.__getitem__, string)): token for token, string in vocabulary.reached.items()}
+        # A special token that no text holds: without any, each place of a text is tried for one.
+        self.ranked = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks,
+                                        special_tokens={"\n\n": len(vocabulary.rank)})
+
+    def _merged(self, text: str) -> bytes | None:
+        """The ids of a text of ``SURE`` characters and white space; None if it has a long piece."""
+        pieces = SURE_WORD.findall(text.lower())
+        if not pieces:
+            return b""
+        if max(map(len, pieces)) > LONG:  # whose merges would be searched one by one
+            return None
+        return self.ranked.encode_to_numpy(f"{' '.join(pieces)} ").astype("<u2").tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        # No piece reaches over white space.
+        return b"".join([self._part(part[0]) for part in PART.finditer(text)])
+
+    def _part(self, text: str) -> bytes:
+        if SURE_TEXT.fullmatch(text):
+            ids = self._merged(text)
+            if ids is not None:
+                return ids
+        elif any(char in text for char in _SEPARATORS):
+            return self[text]
+        parts: list[bytes] = []
+        for sure, chunks in groupby(text.split(), lambda chunk: len(chunk) <= LONG and bool(SURE.fullmatch(chunk))):
+            parts += [self._merged(" ".join(chunks))] if sure else map(self.__getitem__, chunks)
+        return b"".join(parts)
+
+
 def shared(spark_context: SparkContext, path: str):
     """The content of a vocabulary file, sent to every executor once."""
     with open(path, encoding="utf-8") as file:

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routelens.llm.bpe import WordEncoder, encoder_of, shared
+from routelens.llm.bpe import MergingEncoder, encoder_of, shared
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -135,7 +135,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048,
     content = shared(docs.sparkSession.sparkContext, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(WordEncoder, content.value)
+        encoder = encoder_of(MergingEncoder, content.value)
         packer = Packer(window, TaskContext.get().partitionId() << 32)
         tail = np.array([end_id], "<u2")
         for batch in batches:
