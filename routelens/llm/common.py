@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 from typing import TypeVar
@@ -46,6 +47,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts in one Arrow batch from the JVM to a Python worker, and their bytes.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"),
+           "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Have Arrow batches hold ``BATCHES`` at most, as whole texts are large; set in the session.
+
+    A setting that someone chose, other than Spark's own, is left.
+    """
+    for name, (usual, most) in BATCHES.items():
+        if spark.conf.get(name, usual) == usual:
+            spark.conf.set(name, most)
+
+
 _HELD: dict = {}
 
 
@@ -55,7 +71,7 @@ def held(key: object, build: Callable[[], T]) -> T:
     A worker keeps one object alone: those of other operators make room for it.
     """
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = build()
     return _HELD[key]
 
@@ -63,6 +79,8 @@ def held(key: object, build: Callable[[], T]) -> T:
 def release() -> None:
     """Let go what the worker holds, before work that needs none of it."""
     _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
 
 
 def crc_fold(doc_id: Column, folds: int) -> Column:

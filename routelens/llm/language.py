@@ -23,7 +23,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from routelens.llm.common import held
+from routelens.llm.common import bound_batches, held
 from routelens.llm.minhash import mix
 
 ORDER = 5
@@ -303,6 +303,7 @@ def learn_languages(docs: DataFrame, learn: Column, per_language: int = 1000) ->
     the sample's word counts reach the driver. Rows with a NULL lang, id or text teach nothing.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()
                       & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = dict(rows.groupBy("lang").count().collect())
@@ -348,5 +349,6 @@ def predict_languages(docs: DataFrame, model: Model, margin: float = 1.5,
     those without a letter are ``und``, score 0, rejected. Whole texts are read; there is no
     shuffle.
     """
+    bound_batches(docs.sparkSession)
     fitted = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn("prediction", _predictor(fitted, margin, deviations)("text"))

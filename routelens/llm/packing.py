@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routelens.llm.bpe import MergingEncoder, encoder_of, shared
+from routelens.llm.common import bound_batches
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
@@ -132,6 +133,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048,
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
+    bound_batches(docs.sparkSession)
     content = shared(docs.sparkSession.sparkContext, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
-from routelens.llm.common import held, release, slices, written
+from routelens.llm.common import bound_batches, held, release, slices, written
 
 DISCOUNT = 0.75
 #: Words in the passages whose likelihoods are compared besides those of the whole text.
@@ -156,6 +156,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, per_class:
     every text gets the other's rate, and 0 if there are no labels.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     truth = (labels.where(learn & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")))
     sizes = dict(truth.groupBy("toxic").count().collect())
@@ -256,5 +257,6 @@ def _scores(model: Broadcast):
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``toxicity`` from 0 to 1. Texts without words, NULL ones too, get the score
     of no evidence. Whole texts are read; there is no shuffle."""
+    bound_batches(docs.sparkSession)
     fitted = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn("toxicity", _scores(fitted)("text"))
