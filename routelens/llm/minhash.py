@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType, LongType
@@ -173,6 +173,44 @@ def _set_hash(shingles: pa.Array) -> pa.Array:
     return pa.array([xxhash.xxh3_64_intdigest(row.as_buffer()) - (1 << 63) for row in shingles], pa.int64())
 
 
+_DIFFERENCES = ("leader long, base long, id long, label long, of_set long, n long, n_base long, d long, "
+                "element long")
+
+
+def _differences(most: int = 200_000):
+    """One row for each shingle that stands in a set or in its leader's, but not in both.
+
+    An element is NULL in the one row of a set that differs in nothing.
+    """
+    keep = ["leader", "base", "id", "label", "of_set"]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        own, sizes, elements = zip(*rows, strict=True)
+        repeat = np.array([len(e) for e in elements])
+        columns = [pa.array(np.repeat(np.array(column, np.int64), repeat))
+                   for column in (*zip(*own, strict=True), *zip(*sizes, strict=True))]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.concat_arrays(elements)], names=[*keep, "n", "n_base", "d", "element"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for batch in batches:
+            owns = zip(*(batch.column(name).to_pylist() for name in keep), strict=True)
+            for own, x, y in zip(owns, batch.column("shingles"), batch.column("base_shingles"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.int64) for v in (x, y))
+                d = np.setxor1d(x, y, assume_unique=True)
+                rows.append((own, (len(x), len(y), len(d)),
+                             pa.array(d) if len(d) else pa.nulls(1, pa.int64())))
+                held += len(d)
+                if held >= most:
+                    yield out(rows)
+                    rows, held = [], 0
+        if rows:
+            yield out(rows)
+
+    return run
+
+
 @arrow_udf(DoubleType())
 def _estimate(a: pa.Array, b: pa.Array) -> pa.Array:
     """Share of equal slots of two sketches."""
@@ -197,7 +235,7 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
-                    spare: int = 20, rounds: int = 3) -> DataFrame:
+                    rounds: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``.
 
     Documents are linked if their sets of ``width``-word shingles share at least ``percent``
@@ -207,12 +245,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
 
     Copies are merged by the digest of their set before anything is compared, so a group of
     copies costs one row in each task. Within a bucket all members are first compared to one
-    of them, the same in every bucket that holds it, and what is linked then counts as one.
-    Only members of different components are left; the step is repeated with another leader
-    while more than ``spare`` pairs for each member are left, ``rounds`` times at most, and
-    then the rest are compared pair by pair. So no link between components is lost, and a group
-    of near copies costs one comparison a member; many documents that share a passage without
-    being near copies are what still costs pairs.
+    of them, the one that meets most others in its buckets, and what is linked then counts as
+    one (not with ``rounds=0``). Members that are still in different components are compared by
+    what sets them apart from such a leader (``_last_links``), so that neither a group of near
+    copies nor a passage that many documents share makes pairs. No link between components is lost.
 
     NULL, empty or blank text: no shingles, linked with nothing. NULL doc_id: linked with
     nothing, component_id NULL, kept. Rows that share a doc_id are one node with the links of
@@ -227,9 +263,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
              .select("id", "digest", "n_shingles", "sketch", "bands"))
     first = written(first.dropDuplicates(["id", "digest"]))
     entries = first.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    crowded = (entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-               .where("low < high").select("key"))
+    crowded = (entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"),
+                                          F.count("*").alias("size"))
+               .where("low < high").select("key", "size"))
     entries = written(entries.join(crowded, "key").distinct())
+    met = entries.groupBy("id").agg(F.sum("size").alias("met"))
+    entries = entries.drop("size").join(met, "id")
     sketches = first.select("id", "sketch")
     shingles = written(
         texts.join(entries.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
@@ -239,19 +278,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 75,
     attempt = 0
     while True:
         labelled = entries.join(found, F.col("id") == F.col("node"), "left").select(
-            "key", "id", "n", F.coalesce("component", "id").alias("label"))
+            "key", "id", "n", "met", F.coalesce("component", "id").alias("label"))
         open_keys = (labelled.groupBy("key").agg(F.min("label").alias("low"),
                                                  F.max("label").alias("high"))
                      .where("low < high").select("key"))
         labelled = written(labelled.join(open_keys, "key"))
         entries = labelled.drop("label")  # settled buckets stay settled
-        members, left = _pairs_left(labelled)
-        if not members:
+        if labelled.isEmpty():
             break
-        done = attempt == rounds or attempt > 0 and left <= spare * members
-        pairs = (_all_pairs(labelled, _shared_sizes(labelled, shingles), percent) if done
-                 else _star_pairs(labelled, attempt, percent))
-        fresh = _confirmed(_close_pairs(pairs, sketches), shingles, percent)
+        done = attempt == rounds
+        fresh = (_last_links(labelled, shingles, sketches, percent) if done else
+                 _confirmed(_close_pairs(_star_pairs(labelled, percent), sketches), shingles, percent))
         links = written(links.unionByName(fresh))
         found = connected_components(links)
         if done:
@@ -285,25 +322,20 @@ def _members(profiles: DataFrame, classes: DataFrame, found: DataFrame) -> DataF
                          F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def _pairs_left(labelled: DataFrame) -> tuple[int, int]:
-    """Members of unsettled buckets, and pairs in a bucket that are not in one component yet."""
-    of_label = labelled.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
-    of_key = of_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n"))
-                                         .alias("same"))
-    members, pairs = of_key.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
-    return members or 0, pairs or 0
-
-
 def _sizes_allow(a: Column, b: Column, percent: int) -> Column:
     """Whether sets of these sizes can be linked."""
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def _star_pairs(labelled: DataFrame, attempt: int, percent: int) -> DataFrame:
-    """Each member with its bucket's leader: the first by a hash of the id."""
-    order = F.struct(F.xxhash64("id", F.lit(attempt)).alias("h"), "id", "label", "n")
-    leaders = labelled.groupBy("key").agg(F.min(order).alias("leader"))
-    return (labelled.join(leaders, "key").where(F.col("label") != F.col("leader.label"))
+def _leaders(labelled: DataFrame) -> DataFrame:
+    """Each bucket's leader: the member that meets most sets in its buckets, so mostly their centre."""
+    order = F.struct(F.negative("met").alias("met"), F.xxhash64("id").alias("h"), "id", "label", "n")
+    return labelled.groupBy("key").agg(F.min(order).alias("leader"))
+
+
+def _star_pairs(labelled: DataFrame, percent: int) -> DataFrame:
+    """Each member with its bucket's leader."""
+    return (labelled.join(_leaders(labelled), "key").where(F.col("label") != F.col("leader.label"))
             .where(_sizes_allow(F.col("n"), F.col("leader.n"), percent))
             .select(F.least("id", "leader.id").alias("a"), F.greatest("id", "leader.id").alias("b"))
             .distinct())
@@ -325,16 +357,80 @@ def _shared_sizes(labelled: DataFrame, shingles: DataFrame) -> DataFrame:
             .agg(F.max(F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared")))
 
 
-def _all_pairs(labelled: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose components differ and whose shared shingles allow a link."""
-    able = labelled.join(shared, ["id", "n"]).where(100 * F.col("shared") >= percent * F.col("n"))
-    other = able.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"),
-                        F.col("n").alias("other_n"), F.col("shared").alias("other_shared"))
-    common = F.least("shared", "other_shared")
-    return (able.join(other, "key").where("id < other AND label <> other_label")
-            .where(_sizes_allow(F.col("n"), F.col("other_n"), percent))
-            .where(100 * common >= percent * (F.col("n") + F.col("other_n") - common))
-            .select(F.col("id").alias("a"), F.col("other").alias("b")).distinct())
+def _last_links(labelled: DataFrame, shingles: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The links between members of a bucket whose components differ.
+
+    Members whose shingles stand in too few other open sets are left out. The others are seen
+    by their differences from the bucket's leader: what a whole group has in common is in none.
+    Those linked with the leader are so by their number of differences; for all other pairs
+    see ``_pairs_by_differences``.
+    """
+    shared = _shared_sizes(labelled, shingles).where(100 * F.col("shared") >= percent * F.col("n"))
+    able = labelled.join(shared.select("id").distinct(), "id", "left_semi")
+    leaders = _leaders(able).select("key", F.col("leader.id").alias("leader"))
+    members = written(able.join(leaders, "key").select("leader", "id", "label").distinct())
+    sets = (shingles.join(members.select("id").distinct(), "id", "left_semi").distinct()
+            .withColumn("of_set", _set_hash("shingles")))
+    # A leader of many is dealt to several tasks.
+    parts = members.groupBy("leader").agg(F.ceil(F.count("*") / 1000).cast("int").alias("parts"))
+    bases = parts.join(sets.select(F.col("id").alias("leader"), F.col("of_set").alias("base"),
+                                   F.col("shingles").alias("base_shingles")), "leader")
+    bases = bases.select("leader", "base", "base_shingles", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+                         .alias("part"))
+    dealt = members.join(parts, "leader").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    differences = written(
+        dealt.join(sets, "id").join(bases, ["leader", "part"])
+        .select("leader", "base", "id", "label", "of_set", "shingles", "base_shingles")
+        .mapInArrow(_differences(), _DIFFERENCES))
+    to_leader = (differences.where((100 + percent) * F.col("d") <= (100 - percent) * (F.col("n") + F.col("n_base")))
+                 .where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct())
+    pairs = _close_pairs(_pairs_by_differences(differences, percent), sketches)
+    return to_leader.unionByName(_confirmed(pairs, shingles, percent))
+
+
+def _pairs_by_differences(differences: DataFrame, percent: int, classes: int = 16, salts: int = 16) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, though not both to their leader.
+
+    Sets of n and m shingles, with d and e differences from one leader of which o are the same,
+    differ from each other in d + e - 2 o. They are linked if that is at most the part
+    (100 - percent) / (100 + percent) of n + m. So with the excess g = (100 + percent) d -
+    (100 - percent) n of each set, o must reach (g + g') / (2 (100 + percent)), which is more
+    than 0 unless both are linked with the leader. Then, with the differences in one order,
+    rarest first, the first d - o + 1 of one set hold one of the first e - o + 1 of the other.
+    As o depends on both, sets are put in classes of g, and a set's first differences are
+    given for each class that its leader's members have.
+    """
+    whole = 100 + percent
+    limit = (100 - percent) * F.col("n_base")
+    width = F.greatest(F.lit(4), F.floor(F.col("n_base") / classes)) * whole
+    rows = differences.where("element IS NOT NULL").withColumn(
+        "g", whole * F.col("d") - (100 - percent) * F.col("n")).withColumn(
+        "class", F.least(F.lit(4 * classes), F.floor((F.col("g") - limit - 1) / width)).cast("long"))
+    # Classes below 0 hold those linked with the leader.
+    present = rows.groupBy("leader", "base").agg(F.collect_set("class").alias("others"))
+    often = (rows.groupBy("leader", "base", "element")
+             .agg(F.count("*").alias("often"), F.min("label").alias("low"), F.max("label").alias("high"))
+             .where("often > 1")
+             .select("leader", "base", "element", "often", (F.col("low") < F.col("high")).alias("across"),
+                     F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")))
+    ranked = rows.withColumn("salt", F.pmod(F.xxhash64("of_set"), F.lit(salts)).cast("int")).join(
+        often, ["leader", "base", "element", "salt"], "left").withColumn(
+        "rank", F.row_number().over(Window.partitionBy("leader", "base", "id", "of_set")
+                                    .orderBy(F.coalesce("often", F.lit(1)), "element")))
+    least = F.greatest(F.lit(1), F.ceil((F.col("g") + F.col("other") * width + limit + 1) / (2 * whole)))
+    first = written(
+        ranked.where("across").join(present, ["leader", "base"])
+        .withColumn("other", F.explode("others")).where("class >= 0 OR other >= 0")
+        .where(F.col("rank") <= F.col("d") - least + 1)
+        .select("leader", "base", "element", "class", "other", "id", "label", "n"))
+    left = first.where("class <= other")
+    right = first.where("class >= other").select(
+        "leader", "base", "element", F.col("class").alias("other"), F.col("other").alias("class"),
+        F.col("id").alias("id2"), F.col("label").alias("label2"), F.col("n").alias("n2"))
+    return (left.join(right, ["leader", "base", "element", "class", "other"])
+            .where("label <> label2 AND (class < other OR id < id2)")
+            .where(_sizes_allow(F.col("n"), F.col("n2"), percent))
+            .select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct())
 
 
 def _close_pairs(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
